@@ -1,11 +1,10 @@
-"""What the operators share: checkpoints, reading tables, salted joins, token caches."""
+"""What the operators share: checkpoints, reading tables, word caches."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that separate words in every contract of this package.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,18 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, row_id: Column, per_salt: int = 512) -> DataFrame:
-    """Inner join of ``many`` to ``one`` on ``key``, where single keys may hold most of ``many``.
-
-    The rows of a key are dealt over ``ceil(n / per_salt)`` salts by ``row_id``, and the
-    key's rows of ``one`` are repeated once for each salt, so no task gets a whole hot key.
-    """
-    counts = many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / per_salt).cast("int").alias("_salts"))
-    one = one.join(counts, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    many = many.join(counts, key).withColumn("_salt", F.pmod(F.xxhash64(row_id), F.col("_salts")).cast("int"))
-    return many.join(one.drop("_salts"), [key, "_salt"]).drop("_salt", "_salts")
-
-
 class WordCache(dict):
     """A dictionary from word to ``make(word)`` that forgets all when ``limit`` words are held."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing, packing
+from plumbline.llm import mixing, neardup, packing
 from plumbline.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets are 80 % alike."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a 3:1:2 mix of one and a half times the corpus takes of each document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -68,7 +73,7 @@ FROM i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_packing": op6_packing, "op8_mixing": op8_mixing}
+    return {"op6_packing": op6_packing, "op7_minhash": op7_minhash, "op8_mixing": op8_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
