@@ -14,6 +14,8 @@ whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,27 +31,59 @@ PIECES = (
 )
 
 
+#: Letters beyond Latin, and one whose lower case is two characters: texts with those are left to the tokenizer.
+OTHER = re.compile("[\u0130\u0250-\U0010ffff]")
+#: Marks that end a word and make a part of their own; an apostrophe would not.
+ENDS = ".,!?;:#*%$&"
+
+
 class ChunkEncoder:
-    """Ids of whole texts by a ``tokenizers`` file whose words never span white space.
+    """Ids of whole texts by a lower-casing byte-pair ``tokenizers`` file whose words never span white space.
 
     A text is cut at spaces, tabs and line ends, which such a tokenizer always splits at
     and drops, so the ids of the parts in turn are the ids of the text; parts repeat, and
-    their ids are remembered as little-endian unsigned 32-bit integers.
+    their ids are remembered as little-endian unsigned 32-bit integers. A part of Latin
+    letters goes straight to the tokenizer's model, in the letters that stand for its bytes.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = WordCache(self._encode)
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.latin = {i: level.pre_tokenize_str(chr(i))[0][0][-1] for i in range(0x80)}
+        for i in range(0x80, 0x250):
+            shown = level.pre_tokenize_str(chr(i))[0][0]
+            for byte, letter in zip(chr(i).encode(), shown, strict=True):
+                self.latin[byte] = letter
+        self.cache = WordCache(self._encode, limit=600_000)
 
     def _encode(self, part: str) -> bytes:
+        core = part.rstrip(ENDS)
+        if core != part and core.isalpha():
+            return self.cache[core] + self.cache[part[len(core) :]]
+        if part.isalpha() and part == part.lower() and not OTHER.search(part):
+            shown = part.encode().decode("latin-1").translate(self.latin)
+            return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def encode(self, text: str | None) -> bytes:
+        """The ids, four bytes each."""
+        cache, text = self.cache, text or ""
+        if not OTHER.search(text):
+            text = text.lower()
+        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join([cache[p] for p in parts if p])
+
     def __call__(self, text: str | None) -> np.ndarray:
-        cache = self.cache
-        parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return np.frombuffer(b"".join([cache[p] for p in parts if p]), "<u4")
+        return np.frombuffer(self.encode(text), "<u4")
+
+
+@functools.cache
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder for each worker process, which keeps what it has learnt from task to task."""
+    return ChunkEncoder(path)
 
 
 class SumOfSquares:
@@ -144,9 +178,9 @@ def pack(
     shards = max(1, -(-chars // shard_chars))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = ChunkEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for pdf in batches:
-            yield pd.DataFrame({"shard": pdf["shard"], "doc_id": pdf["doc_id"], "ids": [encoder(t).tobytes() + end for t in pdf["text"]]})
+            yield pd.DataFrame({"shard": pdf["shard"], "doc_id": pdf["doc_id"], "ids": [encoder.encode(t) + end for t in pdf["text"]]})
 
     def frame(shard: int, pieces: list[tuple]) -> pd.DataFrame:
         doc, start, ids, total, sequence, offset = zip(*pieces, strict=True)

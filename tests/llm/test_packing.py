@@ -10,7 +10,7 @@ from plumbline.llm.packing import ChunkEncoder, SumOfSquares, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, length string"
-TEXTS = ["", None, "one", "it's 12 o'clock\tnow\r\n again", "É é Σ. ΟΔΟΣ ok\x1c\x0bx", "<|endoftext|> a<|startoftext|>b", "word " * 5000, "x" * 3000, "  "]
+TEXTS = ["", None, "one", "it's 12 o'clock\tnow\r\n again", "É é Σ. ΟΔΟΣ ok\x1c\x0bx", "<|endoftext|> a<|startoftext|>b", "word " * 5000, "x" * 3000, "  ", "Été. DES!! wort### ÀÇÑ ß; naïve, e\u0301te x\u00b2 ǅ Ⅷ ª", "<|ENDOFTEXT|> \u0130I ſs", "e\u0301. a.b. 's 'S it'S. 12. a1."]
 
 
 def brute_level(counts, size, n):
