@@ -6,11 +6,29 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, neardup, packing
+from plumbline.llm import fingerprint, mixing, neardup, packing, quality, tokencount, toxicity
 from plumbline.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a machine fitted on the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, whole documents being encoded once."""
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return tokencount.section_tokens(docs, path, public_tokenizers.PATTERN, rule="start")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and their likeness to an edited text's and the next document's."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
@@ -27,6 +45,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; the source stands for the host, the language for the path."""
+    docs = table(spark, sf_dir, "documents")
+    classifier = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, classifier, F.col("source"), F.col("lang"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
@@ -73,7 +98,8 @@ FROM i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_packing": op6_packing, "op7_minhash": op7_minhash, "op8_mixing": op8_mixing}
+    found = [op2_toxicity, op3_token_counts, op4_fingerprints, op6_packing, op7_minhash, op8_mixing, op10_quality]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
