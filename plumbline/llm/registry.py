@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprint, mixing, neardup, packing, quality, tokencount, toxicity
+from plumbline.llm import ann, fingerprint, mixing, neardup, packing, quality, tokencount, toxicity
 from plumbline.llm.common import table
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every embedding whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents by a machine fitted on the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -98,7 +103,7 @@ FROM i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op3_token_counts, op4_fingerprints, op6_packing, op7_minhash, op8_mixing, op10_quality]
+    found = [op1_learned_partitions, op2_toxicity, op3_token_counts, op4_fingerprints, op6_packing, op7_minhash, op8_mixing, op10_quality]
     return {f.__name__: f for f in found}
 
 
