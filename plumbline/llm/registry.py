@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, fingerprint, mixing, neardup, packing, quality, tokencount, toxicity
+from plumbline.llm import ann, fingerprint, mixing, neardup, packing, quality, secrets, tokencount, toxicity
 from plumbline.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by patterns and by randomness tests."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; the source stands for the host, the language for the path."""
     docs = table(spark, sf_dir, "documents")
@@ -103,7 +108,7 @@ FROM i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_learned_partitions, op2_toxicity, op3_token_counts, op4_fingerprints, op6_packing, op7_minhash, op8_mixing, op10_quality]
+    found = [op1_learned_partitions, op2_toxicity, op3_token_counts, op4_fingerprints, op6_packing, op7_minhash, op8_mixing, op9_secrets, op10_quality]
     return {f.__name__: f for f in found}
 
 
