@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, fingerprint, mixing, neardup, packing, quality, secrets, tokencount, toxicity
+from plumbline.llm import ann, fingerprint, linededup, mixing, neardup, packing, quality, secrets, tokencount, toxicity
 from plumbline.llm.common import table
 
 
@@ -34,6 +34,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that stood before, exactly or but for one edit."""
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), edits=1)
+    return kept.select("doc_id", "lines.*", "text")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
@@ -108,7 +114,7 @@ FROM i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_learned_partitions, op2_toxicity, op3_token_counts, op4_fingerprints, op6_packing, op7_minhash, op8_mixing, op9_secrets, op10_quality]
+    found = [op1_learned_partitions, op2_toxicity, op3_token_counts, op4_fingerprints, op5_line_dedup, op6_packing, op7_minhash, op8_mixing, op9_secrets, op10_quality]
     return {f.__name__: f for f in found}
 
 
