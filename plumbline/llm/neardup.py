@@ -6,13 +6,14 @@ sketch: every sample, with its number, flips one bit of a bitmap, so the bits in
 sketches differ estimate how many samples differ, most precisely where few do. Classes
 whose samples agree on a whole band are candidates.
 
-Candidates of a band's bucket are never listed as pairs of all with all. The smallest
-class of a bucket is its pivot and all others are compared with it; the sketches' exclusive
-or rejects the hopeless, and what is left is confirmed on the full sets. Classes that a
-link joins become one component. A bucket whose classes are in one component by then is
-finished, since no further link can change a result. In the others, the classes outside
-the pivot's component are compared with all classes of other components in that bucket,
-again sketches first, so a link is lost only where the bands or sketches miss it.
+Candidates of a band's bucket are never listed as pairs of all with all. In a first round
+the smallest class of a bucket is its pivot and all others are compared with it, in a
+second a class drawn for each band; the exclusive or of two sketches rejects the hopeless
+(a second bitmap, of all shingles, does so without loss), and what is left is confirmed on the full sets. Classes that links join become one
+component. A bucket whose classes are in one component by then is finished, since no
+further link can change a result. In the others, the classes outside the largest component
+are compared with all classes of other components in that bucket, again sketches first, so
+a link that matters is lost only where the bands or sketches miss it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from plumbline.llm.common import WordCache, cut
 
 #: Bytes that separate words; no byte of a longer UTF-8 character is among them.
 SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+#: Bits of the bitmap that holds the parity of a full set's shingles.
+PARITY = 1024
 SIGNED = "doc_id long, n_shingles long, set_id long, bands array<long>, sketch array<long>"
 
 
@@ -66,6 +69,9 @@ class Shingler:
         bits = _scramble(mins * self.by[::-1] + np.arange(mins.shape[1], dtype=np.uint64)) % np.uint64(self.bits)
         bitmap = np.zeros((len(sets), self.bits), np.uint8)
         np.bitwise_xor.at(bitmap, (np.arange(len(sets))[:, None], bits.astype(np.int64)), 1)
+        owner = np.repeat(np.arange(len(sets)), np.diff([*starts, len(flat)]))
+        parity = np.bincount(owner * PARITY + (_scramble(flat) % np.uint64(PARITY)).astype(np.int64), minlength=len(sets) * PARITY) & 1
+        bitmap = np.concatenate([bitmap, parity.reshape(len(sets), PARITY).astype(np.uint8)], axis=1)
         sketch = np.packbits(bitmap, axis=1).view(np.int64)
         band = np.zeros((len(sets), self.bands), np.uint64)
         for j in range(self.rows):
@@ -98,14 +104,26 @@ def odd_sketch_similarity(differing: int, samples: int, bits: int) -> float:
     return max(0.0, 1 + bits / (4 * samples) * float(np.log(1 - 2 * share)))
 
 
-def bits_apart(a: Column, b: Column, words: int) -> Column:
-    """Bits in which two sketches, arrays of ``words`` longs, differ."""
-    total = F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0)))
-    for i in range(1, words):
+def bits_apart(a: Column, b: Column, places: range) -> Column:
+    """Bits in which two sketches, arrays of longs, differ in these places."""
+    total = F.lit(0)
+    for i in places:
         total = total + F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i)))
     return total
 
 
+def may_be_alike(a: Column, b: Column, sizes: Column, bits: int, limit: int, percent: int) -> Column:
+    """Whether two sketches let a pair pass whose sets have ``sizes`` shingles in all.
+
+    The odd sketches' limit comes first. A shingle in one set alone flips one bit of the
+    parity bitmaps, so at least as many shingles differ as bits do, and a similarity in
+    percent allows ``sizes * (100 - percent) / (100 + percent)`` of them: no link is lost there.
+    """
+    words = bits // 64
+    odd = bits_apart(a, b, range(words)) <= limit
+    return odd & ((100 + percent) * bits_apart(a, b, range(words, words + PARITY // 64)) <= (100 - percent) * sizes)
+
+
 def signed(rows: DataFrame, settings: tuple) -> DataFrame:
     """doc_id, n_shingles, set_id (a hash of the set), bands and sketch of rows (doc_id, text)."""
 
@@ -146,25 +164,27 @@ def full_sets(rows: DataFrame, settings: tuple) -> DataFrame:
     return rows.mapInPandas(shingle, "doc_id long, set_id long, shingles array<long>")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest node each node reaches by ``links`` (a, b).
 
-    Alternates two steps until nothing changes: every node points to the smallest label
-    among itself and its neighbours, then to that label's label. Labels are checkpointed
-    after each round; nodes without links keep themselves.
+    In each round every node takes the smallest label among its own and its neighbours',
+    then that label's label. Rounds end when nothing changes, or after ``rounds``; then equal
+    components are surely linked, but unequal ones may be, too. Labels are checkpointed after
+    each round; nodes without links keep themselves.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    while True:
+    both = links.select("a", "b").union(links.select("b", "a")).distinct()
+    both = cut(both) if rounds is None else both
+    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component"))
+    done = 1
+    while rounds is None or done < rounds:
+        labels = cut(labels) if done == 1 else labels
         near = both.join(labels.withColumnsRenamed({"node": "b", "component": "c"}), "b").groupBy("a").agg(F.min("c").alias("c"))
-        step = labels.join(near, labels.node == near.a).select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
-        # A label that is smaller than its holder's own is itself a node, whose new label may be smaller still.
-        jump = step.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        step = step.join(jump, step.component == F.col("_n")).select("node", F.least("component", "_c").alias("component"), "old")
-        step = cut(step)
-        changed = step.where("component <> old").limit(1).count()
-        labels = step.select("node", "component")
-        if not changed:
+        step = labels.join(near, labels.node == near.a).select("node", F.least("component", "c").alias("now"), F.col("component").alias("old"))
+        # A label is itself a node, whose own label may be smaller still.
+        jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        step = cut(step.join(jump, step.now == F.col("_n")).select("node", F.least("now", "_c").alias("component"), "old"))
+        labels, done = step.select("node", "component"), done + 1
+        if rounds is None and step.where("component <> old").isEmpty():
             break
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -195,32 +215,37 @@ def near_duplicates(
     sets pass through as one row, shingle sets are moved only for classes that share a band.
     """
     settings, limit = (words, bands, rows, sketch_bits), odd_sketch_limit(bands * rows, sketch_bits, similarity)
+    percent = round(similarity * 100)
+    filters = (sketch_bits, limit, percent)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sign = cut(signed(texts, settings))
     known = sign.where("set_id is not null and doc_id is not null")
     # Equal sets are one class, named by its smallest doc_id.
     classes = known.groupBy("set_id").agg(F.min("doc_id").alias("node"))
     buckets = _buckets(known)
+    nodes = buckets.select("node").distinct()
     links, sets, tested = None, None, None
-    labels = buckets.select("node").distinct().withColumn("component", F.col("node"))
+    labels = nodes.withColumn("component", F.col("node"))
     for wave in range(WAVES + 1):
-        state = cut(buckets.join(labels, "node"))
-        pairs = _pivot_pairs(state, wave, limit, sketch_bits // 64) if wave < WAVES else _open_pairs(state, limit, sketch_bits // 64)
-        pairs = pairs if tested is None else pairs.join(tested, ["pivot", "node"], "left_anti")
-        pairs = cut(pairs)
-        if not pairs.limit(1).count():
+        state = buckets.join(labels, "node")
+        pairs = _pivot_pairs(state, wave, *filters) if wave < WAVES else _open_pairs(state, *filters)
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["pivot", "node"], "left_anti"))
+        if pairs.isEmpty():
             if wave:
                 continue
             break
         if sets is None:
             # Pairs of later waves are of buckets of three and more.
-            wanted = pairs.select(F.col("pivot").alias("doc_id")).union(pairs.select("node")).union(state.where("members > 2").select("node")).distinct()
+            wanted = pairs.select(F.col("pivot").alias("doc_id")).union(pairs.select("node")).union(buckets.where("members > 2").select("node")).distinct()
             sets = full_sets(texts.join(wanted, "doc_id"), settings).where("set_id is not null")
-            sets = cut(sets.dropDuplicates(["doc_id", "set_id"]).join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "set_id"]).select(F.col("doc_id").alias("id"), "shingles"))
-        found = cut(_confirmed(pairs, sets, round(similarity * 100)))
+            sets = cut(sets.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "set_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "shingles"))
+        found = cut(_confirmed(pairs, sets, percent))
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
-        labels = cut(components(buckets.select("node").distinct(), links.withColumnsRenamed({"pivot": "a", "node": "b"})))
+        if wave < WAVES:
+            labels = cut(components(nodes, links.withColumnsRenamed({"pivot": "a", "node": "b"}), rounds=2))
+    if links is not None:
+        labels = components(nodes, links.withColumnsRenamed({"pivot": "a", "node": "b"}))
     named = classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     out = sign.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     # An empty set is a component of its own; so is nothing whose id is null.
@@ -233,28 +258,29 @@ WAVES = 3
 
 
 def _buckets(known: DataFrame) -> DataFrame:
-    """(band, members, node, sketch) of the bands that several classes share."""
-    classes = cut(known.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    """(node, band, members, size, sketch) of the bands that several classes share."""
+    first = [F.first(c).alias(n) for c, n in (("n_shingles", "size"), ("bands", "bands"), ("sketch", "sketch"))]
+    classes = cut(known.groupBy("set_id").agg(F.min("doc_id").alias("node"), *first))
     rows = classes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return cut(rows.join(shared, "band").join(classes.select("node", "sketch"), "node"))
+    return cut(rows.join(shared, "band").join(classes.select("node", "size", "sketch"), "node"))
 
 
-def _pivot_pairs(state: DataFrame, wave: int, limit: int, words: int) -> DataFrame:
+def _pivot_pairs(state: DataFrame, wave: int, bits: int, limit: int, percent: int) -> DataFrame:
     """(pivot, node): a class of each unfinished bucket with those of other components that the sketches let pass."""
     order = F.col("node") if wave == 0 else F.xxhash64("node", "band", F.lit(wave))
-    pivots = state.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "component", "sketch")).alias("p"), F.min("component").alias("least"), F.max("component").alias("most"))
+    pivots = state.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "component", "size", "sketch")).alias("p"), F.min("component").alias("least"), F.max("component").alias("most"))
     pivots = pivots.where("least <> most").select("band", "p")
-    near = bits_apart(F.col("sketch"), F.col("p.sketch"), words) <= limit
+    near = may_be_alike(F.col("sketch"), F.col("p.sketch"), F.col("size") + F.col("p.size"), bits, limit, percent)
     return state.join(pivots, (state.band == pivots.band) & (F.col("component") != F.col("p.component")) & near).select(F.col("p.node").alias("pivot"), "node").distinct()
 
 
-def _open_pairs(state: DataFrame, limit: int, words: int) -> DataFrame:
+def _open_pairs(state: DataFrame, bits: int, limit: int, percent: int) -> DataFrame:
     """(pivot, node): classes outside the largest component of a bucket with all of other components there."""
     sizes = state.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
     rest = state.alias("s").join(sizes.where("parts > 1").alias("m"), (F.col("s.band") == F.col("m.band")) & (F.col("s.component") != F.col("m.main.component")))
-    rest = rest.select(F.col("s.band").alias("b"), F.col("s.node").alias("pivot"), F.col("s.component").alias("c"), F.col("s.sketch").alias("k"))
-    near = bits_apart(F.col("sketch"), F.col("k"), words) <= limit
+    rest = rest.select(F.col("s.band").alias("b"), F.col("s.node").alias("pivot"), F.col("s.component").alias("c"), F.col("s.size").alias("z"), F.col("s.sketch").alias("k"))
+    near = may_be_alike(F.col("sketch"), F.col("k"), F.col("size") + F.col("z"), bits, limit, percent)
     return rest.join(state, (F.col("b") == F.col("band")) & (F.col("c") != F.col("component")) & near).select("pivot", "node").distinct()
 
 

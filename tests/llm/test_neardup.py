@@ -74,7 +74,7 @@ def test_one_big_group_is_whole(spark, monkeypatch):
             text[r.randrange(80)] = f"x{r.random()}"
         documents.append((i, " ".join(text)))
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in documents], SCHEMA)
-    for waves in (1, 3):
+    for waves in (1, 2):
         monkeypatch.setattr(neardup, "WAVES", waves)
         assert rows_of(near_duplicates(df, words=4)) == brute(documents)
 
@@ -100,7 +100,7 @@ def test_odd_sketches_estimate_high_similarities():
         a = r.integers(0, 2**63, 900, np.uint64)
         b = np.concatenate([a[:800], r.integers(0, 2**63, 100, np.uint64)])  # 800 of 1000
         _, sketch = s.signatures([np.unique(a), np.unique(b)])
-        apart = int(np.unpackbits((sketch[0] ^ sketch[1]).view(np.uint8)).sum())
+        apart = int(np.unpackbits((sketch[0, :8] ^ sketch[1, :8]).view(np.uint8)).sum())
         wrong.append(odd_sketch_similarity(apart, 140, 512) - 0.8)
         passed += apart <= limit
     assert passed == 200 and abs(np.mean(wrong)) < 0.01 and np.std(wrong) < 0.06
