@@ -15,21 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed, so that its lineage ends in files that survive lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where none is
-    set and Spark runs in one local process, as in tests, a temporary folder serves; on a
-    cluster without that setting it raises, as a machine-local folder would lose data.
+    Where none is set and Spark runs in one local process, as in tests, a temporary folder
+    serves; on a cluster without that setting it raises, as a machine-local folder would lose data.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, so that its lineage ends in files that survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -92,6 +92,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: bool = False,
 ) -> DataFrame:
     """What a mix takes of each document, in words.
 
@@ -99,7 +100,8 @@ def mix(
     all words; a target stops at ``cap`` times its source's size. Returns doc_id, source,
     shard, size, source_size, target, quota (blocks of the shard) and taken: at most
     ``ceil(cap)`` times the size for every document, and for each source within a few
-    blocks for each of its shards of the target. Empty and null texts have size 0 and give 0; a null
+    blocks for each of its shards of the target. With ``carry`` the whole row of ``docs``
+    comes along as a struct, ``row``. Empty and null texts have size 0 and give 0; a null
     source is a source; rows with equal or null ids are told apart by their text's hash,
     and equal rows of both share what is taken in either order. Reruns agree, whatever the
     partitioning. An empty table gives no rows.
@@ -111,6 +113,7 @@ def mix(
         word_count(F.col(text_col)).alias("size"),
         F.coalesce(F.crc32(F.col(text_col)), F.lit(-1)).alias("_text"),
         seeded.alias("_order"),
+        *([F.struct(*docs.columns).alias("row")] if carry else []),
     )
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     sources = sources.withColumn("source_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
@@ -138,4 +141,21 @@ def mix(
     overlap = lambda low, high: F.greatest(F.lit(0), F.least(F.col("_end"), high) - F.greatest(F.col("_start"), low))
     run_end = F.col("_from") + F.col("_rest")
     taken = whole * F.col("size") + overlap(F.col("_from"), F.least(run_end, n)) + overlap(F.lit(0), run_end - n)
-    return rows.select("doc_id", "source", "shard", "size", "source_size", "target", "quota", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "shard", "size", "source_size", "target", "quota", taken.cast("long").alias("taken"), *(["row"] if carry else []))
+
+
+def mixed_documents(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", **settings) -> DataFrame:
+    """The mix itself: every document as often as :func:`mix` takes it, with the columns of ``docs``.
+
+    A document whose words are taken once or twice is there once or twice; of the few that are
+    cut at the ends of a shard's run, one row more has the first words of the rest. Documents
+    of which nothing is taken are not there. ``length_col``, if it is there, is set to the
+    number of code points.
+    """
+    rows = mix(docs, text_col=text_col, carry=True, **settings)
+    words = F.regexp_extract_all(F.col("row")[text_col], F.lit(r"(?s)[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    copies = F.concat(F.array_repeat(F.col("row")[text_col], whole), F.when(rest > 0, F.array(F.array_join(F.slice(words, 1, rest), ""))).otherwise(F.array().cast("array<string>")))
+    rows = rows.where("taken > 0").select("row", F.explode(copies).alias("_text"))
+    new = {text_col: F.col("_text")} | ({length_col: F.length("_text").cast("long")} if length_col in docs.columns else {})
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

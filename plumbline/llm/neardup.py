@@ -253,6 +253,13 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The rows of ``docs`` but those whose component keeps another document; rows without an id stay."""
+    found = near_duplicates(docs, id_col=id_col, **settings)
+    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+
+
 #: Rounds of comparing each unfinished bucket with one of its classes, before all that is left.
 WAVES = 3
 

@@ -194,3 +194,15 @@ def score(docs: DataFrame, machine: FactorizationMachine, *, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     scored = rows.mapInPandas(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, machine: FactorizationMachine, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, unchanged; null and empty texts score as those of no terms."""
+    held = docs.sparkSession.sparkContext.broadcast(machine)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        parts = [held.value.score(list(texts.iloc[at : at + 512])) for at in range(0, len(texts), 512)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return docs.where(scored(F.col(text_col)) < threshold)
