@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-from plumbline.plans import scoring_queries  # noqa: E402,F401  (registers its queries)
+from plumbline.plans import run_queries, scoring_queries  # noqa: E402,F401  (they register their queries)
