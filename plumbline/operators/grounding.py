@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from plumbline.functions import text as T
 
@@ -19,7 +20,7 @@ def lexical_match(sentence: Column, source: Column, source_sentences: Column, le
     return F.when(T.squeezed(source).contains(T.squeezed(sentence)), "exact_substring").when(near, "token_overlap").otherwise("no_match")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def near_exact(sentence: pd.Series, sources: pd.Series) -> pd.Series:
     """Whether a matching-blocks ratio of a sentence to one of its sources is over 0.85; hopeless lengths are skipped."""
 
@@ -66,7 +67,8 @@ def label_by_spans(sentences: DataFrame, spans: DataFrame, key: str) -> DataFram
 
     An interval join inside the key.
     """
-    j = sentences.join(spans, (sentences[key] == spans[key]) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start")), "left").drop(spans[key])
+    spans = spans.withColumnRenamed(key, "_k")
+    j = sentences.join(spans, (F.col(key) == F.col("_k")) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start")), "left")
     return j.groupBy(key, "pos").agg(F.min_by("label", F.struct("s", "e", "label")).alias("label"))
 
 

@@ -75,7 +75,8 @@ def unfenced(text: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(unfenced(text)).isNotNull()
+    """Whether it is one JSON value; parsers that stop at the first one would miss what follows, an array around it does not."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), unfenced(text), F.lit("]"))) == 1, F.lit(False)) & F.try_parse_json(unfenced(text)).isNotNull()
 
 
 def instructions(query: Column, response: Column) -> dict[str, Column]:
