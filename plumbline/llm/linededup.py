@@ -9,7 +9,8 @@ along, and pairs whose counts differ by more than the edits allow are dropped wh
 meet. What is left is verified by a bit-parallel automaton along the band of diagonals.
 
 Equal lines are one line from the start, found by hash aggregation with partial sums, so a
-line that stands in a third of all documents is one row for each task. All of it is
+line that stands in a third of all documents is one row for each task. Only hashes and
+places of lines are shuffled; texts are picked up for candidates alone. All of it is
 DataFrame operations.
 """
 
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut
 
-#: Letters whose counts are compared, each modulo 16.
-LETTERS = "etaoinshrdlucmfp"
+#: Letters whose counts are compared, each modulo 256.
+LETTERS = "ehtaon"
+#: Most candidate lines that are broadcast to pick up their texts; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -32,13 +35,13 @@ def segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
     return [(i * width + F.greatest(F.lit(0), i - wider), width + (wider <= i).cast("int")) for i in range(count)]
 
 
-def index_keys(line: Column, edits: int) -> Column:
+def index_keys(line: Column, edits: int) -> list[Column]:
     """Hashes of a line's segments."""
     n = F.length(line)
-    return F.array(*[F.xxhash64(F.lit(i), n, F.substring(line, start + 1, width)) for i, (start, width) in enumerate(segments(n, edits))])
+    return [F.xxhash64(F.lit(i), n, F.substring(line, start + 1, width)) for i, (start, width) in enumerate(segments(n, edits))]
 
 
-def probe_keys(line: Column, edits: int) -> Column:
+def probe_keys(line: Column, edits: int) -> list[Column]:
     """Hashes of the substrings that could be a segment of a line as long or up to ``edits`` shorter; null where none is."""
     n, keys = F.length(line), []
     for shorter in range(edits + 1):
@@ -46,24 +49,24 @@ def probe_keys(line: Column, edits: int) -> Column:
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 inside = (start + shift >= 0) & (start + shift + width <= n)
                 keys.append(F.when(inside, F.xxhash64(F.lit(i), n - shorter, F.substring(line, start + shift + 1, width))))
-    return F.array(*keys)
+    return keys
 
 
 def letter_counts(line: Column) -> Column:
-    """Sixteen counts of four bits in one long."""
+    """Counts of eight bits each in one long."""
     total = F.lit(0).cast("long")
     for j, letter in enumerate(LETTERS):
-        count = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(15)
-        total = total.bitwiseOR(F.shiftleft(count.cast("long"), 4 * j))
+        count = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(255)
+        total = total.bitwiseOR(F.shiftleft(count.cast("long"), 8 * j))
     return total
 
 
 def counts_apart(a: Column, b: Column) -> Column:
     """Least sum of differences between counts that two longs stand for; an edit changes it by two at most."""
     total = F.lit(0)
-    for j in range(16):
-        d = F.abs(F.shiftrightunsigned(a, 4 * j).bitwiseAND(15) - F.shiftrightunsigned(b, 4 * j).bitwiseAND(15)).cast("int")
-        total = total + F.least(d, 16 - d)
+    for j in range(len(LETTERS)):
+        d = F.abs(F.shiftrightunsigned(a, 8 * j).bitwiseAND(255) - F.shiftrightunsigned(b, 8 * j).bitwiseAND(255)).cast("int")
+        total = total + F.least(d, 256 - d)
     return total
 
 
@@ -110,32 +113,63 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def _lines(base: DataFrame, least: int) -> DataFrame:
-    """(id, d, t, pos, line) of all lines of at least ``least`` characters, trimmed and in lower case."""
-    rows = base.select("d", "t", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    rows = rows.select("d", "t", "pos", F.lower(F.trim("raw", F.lit(" \t\r"))).alias("line")).where(F.length("line") >= least)
-    return rows.withColumn("id", F.unhex(F.md5("line")))
-
-
-def near_lines(distinct: DataFrame, edits: int) -> DataFrame:
-    """(id) of distinct lines (id, first, line) that are within ``edits`` edits of one whose ``first`` is smaller."""
-    signed = distinct.select("id", letter_counts(F.col("line")).alias("counts"), "line")
-    index = signed.select("id", "counts", F.explode(index_keys(F.col("line"), edits)).alias("key"))
-    probes = signed.select(F.col("id").alias("id2"), F.col("counts").alias("counts2"), F.explode(probe_keys(F.col("line"), edits)).alias("key2")).where("key2 is not null")
-    met = (F.col("key") == F.col("key2")) & (F.col("id") != F.col("id2")) & (counts_apart(F.col("counts"), F.col("counts2")) <= 2 * edits)
-    pairs = index.join(probes, met).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    side = lambda name: distinct.select(F.col("id").alias(name), F.col("first").alias(f"first_{name}"), F.col("line").alias(f"line_{name}"))
+    """(d, t, pos, again, line, h, g): all lines of at least ``least`` characters, trimmed and in lower case.
+
+    ``again`` marks lines that stood before in their own document; h and g are 128 bits of hashes.
+    """
+    keys = F.transform(F.split("text", "\n", -1), lambda raw: F.lower(F.trim(raw, F.lit(" \t\r"))))
+    marked = lambda found: F.transform(found, lambda k, i: F.struct(k.alias("line"), (F.array_position(found, k) <= i).alias("again")))
+    # let: the array is made once
+    marked = F.get(F.transform(F.array(keys), marked), 0)
+    rows = base.select("d", "t", F.posexplode(marked).alias("pos", "x")).select("d", "t", "pos", "x.*").where(F.length("line") >= least)
+    return rows.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit("g"), "line"))
+
+
+def distinct_lines(rows: DataFrame, edits: int) -> DataFrame:
+    """(h, g, first_d, n, counts, index, probes) of distinct lines, checkpointed.
+
+    ``first_d`` is the first document's id and ``n`` the number of documents. Hashes of all
+    segments and substrings are made in the scan, and the aggregate is over numbers alone, so
+    that no text is moved.
+    """
+    line = F.col("line")
+    keys = {f"i{j}": key for j, key in enumerate(index_keys(line, edits))} | {f"p{j}": key for j, key in enumerate(probe_keys(line, edits))}
+    hashed = rows.where("not again").select("h", "g", "d", letter_counts(line).alias("counts"), *[key.alias(name) for name, key in keys.items()])
+    found = hashed.groupBy("h", "g").agg(F.min("d").alias("first_d"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("counts", *keys)])
+    index, probes = (F.array(*[name for name in keys if name[0] == side]).alias(into) for side, into in (("i", "index"), ("p", "probes")))
+    return cut(found.select("h", "g", "first_d", "n", "counts", index, probes))
+
+
+def candidates(distinct: DataFrame, edits: int) -> DataFrame:
+    """(a, b): hashes h of distinct lines that share a segment and have like letter counts, a < b."""
+    index = distinct.select("h", "counts", F.explode("index").alias("key"))
+    probes = distinct.select(F.col("h").alias("h2"), F.col("counts").alias("counts2"), F.explode("probes").alias("key2")).where("key2 is not null")
+    met = (F.col("key") == F.col("key2")) & (F.col("h") != F.col("h2")) & (counts_apart(F.col("counts"), F.col("counts2")) <= 2 * edits)
+    return index.join(probes, met).select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct()
+
+
+def near_lines(rows: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
+    """(h, g) of distinct lines that are within ``edits`` edits of one whose first place is before theirs."""
+    pairs = cut(candidates(distinct, edits))
+    wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    small = wanted.count() <= BROADCAST_ROWS
+    texts = rows.join(F.broadcast(wanted) if small else wanted, "h")
+    texts = cut(texts.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.first("line").alias("line")))
+    side = lambda name: texts.select(F.col("h").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("g", "first", "line")])
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), edits))
-    return pairs.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+    later = F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("a").alias("h"), F.col("g_a").alias("g"))).otherwise(F.struct(F.col("b").alias("h"), F.col("g_b").alias("g")))
+    return pairs.select(later.alias("l")).select("l.*").distinct()
 
 
 def dedup_lines(docs: DataFrame, *, edits: int = 1, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without lines that stood before, or stood before within ``edits`` edits.
 
     Lines are compared without white space at their ends and in lower case; shorter ones
-    than ``least`` characters always stay. A line goes if an equal one stands before it, or
-    its first place comes after that of another line within ``edits`` edits, whether or not
-    that one goes itself. Lines stand in the order of doc_id (null first), a hash of the
-    text, and place; rows equal in id and text are one document and get the same result.
+    than ``least`` characters always stay. A line goes if an equal one stands before it in
+    its document or in one of a smaller doc_id (null is smallest), or if its first place comes
+    after that of another line within ``edits`` edits, whether or not that one goes itself;
+    places are in the order of doc_id, a hash of the text, and position. Rows that share a
+    doc_id don't take equal lines from one another; rows equal in id and text get the same result.
 
     Returns all columns of ``docs``, ``text_col`` with the lines that stay, and before them
     a struct ``lines`` of longs: total, repeated, near, kept (it replaces a column of that name). Null texts stay null (0
@@ -146,12 +180,15 @@ def dedup_lines(docs: DataFrame, *, edits: int = 1, least: int = 20, id_col: str
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     base = docs.select(d.alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("text is not null")
     rows = _lines(base, least)
-    distinct = rows.groupBy("id").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.first("line").alias("line"), F.count(F.lit(1)).alias("n"))
-    near = near_lines(distinct, edits).withColumn("near", F.lit(True))
-    # Lines of which something goes: with their hashes and places, without their texts.
-    known = cut(distinct.select("id", "first", "n").join(near, "id", "left").where("n > 1 or near").select("id", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = rows.select("id", "d", "t", "pos").join(known, "id").where(F.col("near") | (F.struct("d", "t", "pos") != F.col("first")))
-    by_doc = gone.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("_gone"), F.collect_set(F.when((F.struct("d", "t", "pos") == F.col("first")), F.col("pos"))).alias("_near"))
+    distinct = distinct_lines(rows, edits)
+    near = near_lines(rows, distinct, edits).withColumn("near", F.lit(True))
+    # Lines of which something goes.
+    known = distinct.select("h", "g", "first_d", "n").join(near, ["h", "g"], "left").where("n > 1 or near").select("h", "g", "first_d", F.coalesce("near", F.lit(False)).alias("near"))
+    places = rows.select("h", "g", "d", "t", "pos", "again").join(known, ["h", "g"], "left")
+    repeated = F.col("again") | F.coalesce(F.col("d") != F.col("first_d"), F.lit(False))
+    gone = places.withColumn("repeated", repeated).where(F.col("repeated") | F.col("near"))
+    near_places = F.collect_list(F.when(~F.col("repeated"), F.col("pos")))
+    by_doc = gone.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("_gone"), F.array_distinct(near_places).alias("_near"))
     # The row as a struct, so that no column of it can clash with those here.
     whole = docs.select(F.struct(*docs.columns).alias("_row"), d.alias("_d"), F.xxhash64(text_col).alias("_t")).join(by_doc, ["_d", "_t"], "left")
     text = F.col("_row")[text_col]

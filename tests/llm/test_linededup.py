@@ -32,7 +32,7 @@ def test_automaton_and_keys(spark, edits):
         a = "".join(r.choices("abcé ", k=r.randint(8, 30)))
         pairs.append((a, edited(r, a, r.randint(0, edits + 2))))
     df = spark.createDataFrame(pairs, "a string, b string")
-    keys = lambda x, y: F.arrays_overlap(ld.index_keys(x, edits), F.array_compact(ld.probe_keys(y, edits)))
+    keys = lambda x, y: F.arrays_overlap(F.array(*ld.index_keys(x, edits)), F.array_compact(F.array(*ld.probe_keys(y, edits))))
     a, b = F.col("a"), F.col("b")
     longer, shorter = F.when(F.length("a") > F.length("b"), a).otherwise(b), F.when(F.length("a") > F.length("b"), b).otherwise(a)
     out = df.select("a", "b", ld.within(a, b, edits).alias("w"), keys(shorter, longer).alias("k"), ld.counts_apart(ld.letter_counts(a), ld.letter_counts(b)).alias("c")).collect()
@@ -59,7 +59,7 @@ def brute(documents, edits, least):
         raw, keep, repeated, n = t.split("\n"), [], 0, 0
         for i, x in enumerate(raw):
             k = key(x)
-            if len(k) >= least and first[k][:3] != (d, t, i):
+            if len(k) >= least and (first[k][0] != d or k in map(key, raw[:i])):
                 repeated += 1
             elif len(k) >= least and k in near:
                 n += 1
@@ -80,8 +80,9 @@ def corpus(seed=1):
     return documents + [(200, None), (201, ""), (202, "x" * 2_000 + "\n" + "x" * 1_999 + "y\n\n"), (3, documents[3][1])]
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_against_brute_force(spark, edits):
+@pytest.mark.parametrize(("edits", "broadcast"), [(1, 10**6), (2, 0)])
+def test_against_brute_force(spark, monkeypatch, edits, broadcast):
+    monkeypatch.setattr(ld, "BROADCAST_ROWS", broadcast)
     documents = corpus(edits)
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in documents], SCHEMA).repartition(3)
     out = ld.dedup_lines(df.withColumnRenamed("id", "_d"), edits=edits)
