@@ -47,7 +47,7 @@ def validated(spark: SparkSession, path: str, schema: str, required: list[str])
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, content) of the .txt and .md files of a folder; the file's stem is its id."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,md}").text(folder)
+    rows = spark.read.option("pathGlobFilter", "*.{txt,md}").text(folder, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return rows.select(F.regexp_replace(name, r"\.(txt|md)$", "").alias("doc_id"), F.col("value").alias("content"))
 
