@@ -131,3 +131,64 @@ def index_profile(rows: DataFrame, value: str, points: list[float]) -> DataFrame
         return rows.sparkSession.createDataFrame([], "p double, value double")
     one = rows.agg(*exact)
     return one.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"p{k}").alias("value")) for k, p in enumerate(places)])).alias("x")).select("x.*")
+
+
+# Fixed values of the extended lexical rules.
+NEGATIONS = ("not", "no", "never", "neither", "nor", "nobody", "nothing", "nowhere", "n't", "don't", "doesn't", "didn't", "won't", "wouldn't", "can't", "couldn't", "shouldn't", "isn't", "aren't", "wasn't", "weren't", "hasn't", "haven't", "hadn't")
+QUALIFIERS = ("all", "every", "always", "never", "none", "only", "first", "largest", "best", "worst")
+NUMBER = r"\d[\d,]*\.?\d*"
+NAME = r"(?<=[^.] )[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]+)*"
+
+
+def extended_rules(sentence: Column, source: Column, source_sentences: Column) -> dict[str, Column]:
+    """Signs that a sentence is grounded (entities, numbers, coverage) or suspect (number, entity, negation, qualifier).
+
+    Entities are capitalised words that do not begin a sentence; numbers are compared without
+    separators. Each rule that looks at single source sentences asks for one that holds it all:
+    two of the entities, a number with an entity, or six shared words with another negation.
+    """
+    numbers = lambda t: F.transform(F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("")))
+    names = F.transform(F.regexp_extract_all(sentence, F.lit(NAME), F.lit(0)), F.lower)
+    content = lambda t: F.array_distinct(T.tokens(t, "[a-z]{3,}"))
+    low = F.lower(source)
+    negated = lambda t: F.arrays_overlap(F.split(F.lower(t), r"\s+"), F.array(*map(F.lit, NEGATIONS)))
+    holds = lambda s, n: F.size(F.filter(n, lambda e: F.lower(s).contains(e)))
+    own = F.struct(names.alias("names"), numbers(sentence).alias("numbers"), content(sentence).alias("content"), numbers(source).alias("known"))
+
+    def judged(o: Column) -> Column:
+        all_names, all_numbers = F.forall(o["names"], lambda e: low.contains(e)), F.forall(o["numbers"], lambda n: F.array_contains(o["known"], n))
+        together = F.exists(source_sentences, lambda s: holds(s, o["names"]) >= 2)
+        backed = F.forall(o["numbers"], lambda n: F.exists(source_sentences, lambda s: F.array_contains(numbers(s), n) & ((F.size(o["names"]) == 0) | (holds(s, o["names"]) > 0))))
+        covered = (F.size(o["content"]) >= 3) & (F.coalesce(T.containment(o["content"], content(source)), F.lit(0.0)) >= 0.95)
+        flipped = F.exists(source_sentences, lambda s: (F.size(F.array_intersect(o["content"], content(s))) >= 6) & (negated(s) != negated(sentence)))
+        strong = F.exists(F.array(*map(F.lit, QUALIFIERS)), lambda w: F.concat(F.lit(" "), F.lower(sentence), F.lit(" ")).contains(F.concat(F.lit(" "), w, F.lit(" "))) & ~F.concat(F.lit(" "), low, F.lit(" ")).contains(F.concat(F.lit(" "), w, F.lit(" "))))
+        return F.struct(
+            ((F.size(o["names"]) >= 2) & all_names & together).alias("entities_together"), ((F.size(o["numbers"]) > 0) & all_numbers & backed).alias("numbers_backed"), covered.alias("covered"),
+            (~all_numbers).alias("number_unknown"), (~all_names).alias("entity_unknown"), flipped.alias("negation_flipped"), strong.alias("qualifier_stronger"),
+        )
+
+    found = T.let(own, judged)
+    return {n: found[n] for n in ("entities_together", "numbers_backed", "covered", "number_unknown", "entity_unknown", "negation_flipped", "qualifier_stronger")}
+
+
+#: Phrases of claims.
+CLAIMS = (
+    r"(?i)(?:according to|studies show|research indicates|data shows|statistics show)",
+    r"(?i)(?:it is (?:known|proven|established) that)",
+    r"(?i)(?:the (?:official|published|documented) (?:number|figure|rate|data))",
+    r"\d{1,3}(?:\.\d+)?%",
+)
+
+
+def ungrounded_claims(response: Column, context: Column, around: int = 30, least: float = 0.3) -> Column:
+    """Claims whose surroundings, ``around`` characters to both sides, share too few tokens with the context."""
+    own, total = T.bare_tokens(context, 2), F.lit(0)
+    for p in CLAIMS:
+        # A match with what stands around it, by where it begins: the text before each match is what the split leaves.
+        def windows(x: Column) -> Column:
+            start = lambda i: F.aggregate(F.slice(x["gaps"], 1, i + 1), F.lit(0), lambda acc, g: acc + F.length(g)) + F.aggregate(F.slice(x["hits"], 1, i), F.lit(0), lambda acc, h: acc + F.length(h))
+            return F.transform(x["hits"], lambda h, i: F.substring(x["text"], F.greatest(start(i) - around, F.lit(0)) + 1, F.least(start(i), F.lit(around)) + F.length(h) + around))
+
+        found = T.let(F.struct(response.alias("text"), F.split(response, p, -1).alias("gaps"), F.regexp_extract_all(response, F.lit(p), F.lit(0)).alias("hits")), windows)
+        total = total + F.size(F.filter(found, lambda w: F.size(F.array_intersect(T.bare_tokens(w, 2), own)) < F.size(T.bare_tokens(w, 2)) * least))
+    return total

@@ -295,3 +295,9 @@ def _(spark, d):
 @query("sentence_split", r"SELECT doc_id, pos, s AS sentence FROM (SELECT doc_id, s, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, l, unnest(l) AS s FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) > 10) AS l FROM documents)))".replace("generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, l, unnest(l) AS s FROM", "pos FROM (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS pos FROM"))
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query("rule_flags", f"WITH src AS (SELECT doc_id AS key, text AS answer FROM documents), {REPETITION} SELECT key AS doc_id, array_to_string(list_filter(['quality.nonsense_basic:' || {nonsense_sql('answer')}, 'quality.repetition_basic:' || severity], lambda x: x IS NOT NULL), ',') AS flags FROM src JOIN repetition USING (key)")
+def _(spark, d):
+    plan = ("quality.nonsense_basic", "unknown.rule", "quality.repetition_basic")
+    return table(spark, d, "documents").select("doc_id", F.array_join(rules.flags(F.lit(""), F.col("text"), plan), ",").alias("flags"))

@@ -367,3 +367,17 @@ def _(spark, d):
     return out.select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
+
+
+@query("ungrounded_claims")
+def _(spark, d):
+    """Claims of annotated documents against their first line; the tests hold it against Python."""
+    return noted(spark, d).select("doc_id", grounding.ungrounded_claims(F.col("text"), F.split_part("text", F.lit("\n"), F.lit(1))).alias("ungrounded"))
+
+
+@query("l1_rules_ext")
+def _(spark, d):
+    """Sentences of answers against their questions, by the extended rules."""
+    p = pairs(spark, d).select("conv_id", "turn", "question", T.sentences(F.col("question")).alias("qs"), F.posexplode(T.sentences(F.col("answer"))).alias("pos", "s"))
+    found = grounding.extended_rules(F.col("s"), F.col("question"), F.col("qs"))
+    return p.select("conv_id", "turn", "pos", *[v.alias(k) for k, v in found.items()])

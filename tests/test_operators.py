@@ -233,3 +233,26 @@ def test_stream_states_and_pairs(spark, tmp_path):
     streams.alert_sink(lambda b, n: handed.append((n, b.count())))(events, 3)
     streams.alert_sink(lambda b, n: handed.append((n, b.count())))(events.limit(0), 4)
     assert handed == [(3, 2)]
+
+
+def test_claims_and_extended_rules(spark):
+    texts = ["Studies show that 95% of cats sleep. According to Bob, it is known that dogs bark.", "x " * 40 + "12.5% " + "y " * 40, ""]
+    context = "cats sleep most of the day"
+    strip = lambda t: {w.lower().strip(T.PUNCTUATION) for w in t.split() if len(w.strip(T.PUNCTUATION)) > 2}
+
+    def brute(text):
+        n = 0
+        for p in grounding.CLAIMS:
+            for m in re.finditer(p, text):
+                own = strip(text[max(0, m.start() - 30) : m.end() + 30])
+                n += len(own & strip(context)) < 0.3 * len(own)
+        return n
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.x for r in df.select(grounding.ungrounded_claims(F.col("t"), F.lit(context)).alias("x")).collect()] == [brute(t) for t in texts]
+    source = ["He met Anna Smith and then Robert in 1,999 there.", "The quick brown fox jumps over lazy dogs today"]
+    say = lambda s: {k for k, v in grounding.extended_rules(F.lit(s), F.lit(" ".join(source)), F.array(*map(F.lit, source))).items() if one(spark, v)}
+    assert say("Then Anna Smith saw Robert in 1999") == {"entities_together", "numbers_backed"}
+    assert say("Here Julia paid 77 and always won") == {"entity_unknown", "number_unknown", "qualifier_stronger"}
+    assert "negation_flipped" in say("the quick brown fox never jumps over lazy dogs today")
+    assert say("quick brown fox jumps") == {"covered"}
