@@ -39,16 +39,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class WordCache(dict):
-    """A dictionary from word to ``make(word)`` that forgets all when ``limit`` words are held."""
+    """A dictionary from word to ``make(word)`` that holds at most twice ``limit`` words.
 
-    def __init__(self, make, limit: int = 400_000, longest: int = 64):
+    When ``limit`` words are there they become the old ones, and the old ones go; an old word
+    that is asked for stays. So common words stay, and what a worker process keeps is bounded.
+    """
+
+    def __init__(self, make, limit: int = 60_000, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.longest = make, limit, longest
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, word: str):
-        value = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= self.longest:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[word] = value
         return value

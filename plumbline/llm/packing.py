@@ -57,7 +57,7 @@ class ChunkEncoder:
             shown = level.pre_tokenize_str(chr(i))[0][0]
             for byte, letter in zip(chr(i).encode(), shown, strict=True):
                 self.latin[byte] = letter
-        self.cache = WordCache(self._encode, limit=600_000)
+        self.cache = WordCache(self._encode, limit=100_000)
 
     def _encode(self, part: str) -> bytes:
         core = part.rstrip(ENDS)
@@ -179,8 +179,10 @@ def pack(
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for pdf in batches:
-            yield pd.DataFrame({"shard": pdf["shard"], "doc_id": pdf["doc_id"], "ids": [encoder.encode(t) + end for t in pdf["text"]]})
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                pdf = whole.iloc[at : at + 512]
+                yield pd.DataFrame({"shard": pdf["shard"], "doc_id": pdf["doc_id"], "ids": [encoder.encode(t) + end for t in pdf["text"]]})
 
     def frame(shard: int, pieces: list[tuple]) -> pd.DataFrame:
         doc, start, ids, total, sequence, offset = zip(*pieces, strict=True)
@@ -208,7 +210,7 @@ def pack(
                             yield frame(shard, done)
                     shard, packer, done = now, SumOfSquares(size), []
                 done.extend(packer.place(None if pd.isna(doc_id) else int(doc_id), np.frombuffer(ids, "<u4")))
-                if len(done) >= 4096:
+                if len(done) >= 1024:
                     yield frame(shard, done)
                     done = []
         if packer:
