@@ -292,7 +292,7 @@ def _(spark, d):
     return judged(spark, d).where(robustness.undecided(F.col("flags"), F.col("overall_score"), [F.col(x) for x in scoring.DIMENSIONS])).select("doc_id")
 
 
-@query("sentence_split", r"SELECT doc_id, pos, s AS sentence FROM (SELECT doc_id, s, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, l, unnest(l) AS s FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) > 10) AS l FROM documents)))".replace("generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, l, unnest(l) AS s FROM", "pos FROM (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS pos FROM"))
+@query("sentence_split", r"SELECT doc_id, pos, s AS sentence FROM (SELECT doc_id, s, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, l, unnest(l) AS s FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) > 10) AS l FROM documents)))".replace("generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, l, unnest(l) AS s FROM", "pos FROM (SELECT doc_id, unnest(l) AS s, unnest(range(len(l)))::INT AS pos FROM"))
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
