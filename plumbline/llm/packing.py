@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ PIECES = (
 OTHER = re.compile("[\u0130\u0250-\U0010ffff]")
 #: Marks that end a word and make a part of their own; an apostrophe would not.
 ENDS = ".,!?;:#*%$&"
+#: A full stop or comma alone after a letter or digit is a part of its own, whatever stands before it.
+STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|$)")
 
 
 class ChunkEncoder:
@@ -57,7 +60,7 @@ class ChunkEncoder:
             shown = level.pre_tokenize_str(chr(i))[0][0]
             for byte, letter in zip(chr(i).encode(), shown, strict=True):
                 self.latin[byte] = letter
-        self.cache = WordCache(self._encode, limit=100_000)
+        self.cache = WordCache(self._encode, limit=200_000)
 
     def _encode(self, part: str) -> bytes:
         core = part.rstrip(ENDS)
@@ -65,15 +68,17 @@ class ChunkEncoder:
             return self.cache[core] + self.cache[part[len(core) :]]
         if part.isalpha() and part == part.lower() and not OTHER.search(part):
             shown = part.encode().decode("latin-1").translate(self.latin)
-            return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = [t.id for t in self.model.tokenize(shown)]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """The ids, four bytes each."""
         cache, text = self.cache, text or ""
         if not OTHER.search(text):
             text = text.lower()
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        parts = STOP.sub(r" \1", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join([cache[p] for p in parts if p])
 
     def __call__(self, text: str | None) -> np.ndarray:
