@@ -87,7 +87,7 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     block: int = 16,
-    shard_rows: int = 20_000,
+    shard_rows: int = 2_000,
     seed: str = "mix",
     id_col: str = "doc_id",
     text_col: str = "text",

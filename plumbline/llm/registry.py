@@ -91,7 +91,7 @@ won AS (SELECT r, count(*) AS blocks FROM (
           SELECT r, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, r, k) AS place
           FROM s5, unnest(generate_series(1, (target / 16)::BIGINT + (SELECT count(*) FROM s5) + 2)) AS t(k)
           WHERE target > 0), seats WHERE place <= seats GROUP BY r),
-s AS (SELECT s5.*, coalesce(blocks, 0) AS blocks, ceil(n / 20000.0)::BIGINT AS shards FROM s5 LEFT JOIN won USING (r)),
+s AS (SELECT s5.*, coalesce(blocks, 0) AS blocks, ceil(n / 2000.0)::BIGINT AS shards FROM s5 LEFT JOIN won USING (r)),
 e AS (SELECT d.*, s.r, s.source_size, s.target, s.blocks, ('0x' || substr(o, 1, 8))::BIGINT % s.shards AS shard
       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 h0 AS (SELECT r, shard, blocks, sum(size)::BIGINT AS n FROM e GROUP BY r, shard, blocks),
