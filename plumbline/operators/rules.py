@@ -53,12 +53,12 @@ def nonsense_signals(answer: Column) -> dict[str, Column]:
         vowels = F.length(low) - F.length(F.translate(low, "aeiou", ""))
         return (vowels == 0) | (vowels.cast("double") / F.length(low) < 0.20) | low.rlike("[^aeiou]{6,}")
 
-    bad = F.size(F.filter(tokens, gibberish))
+    share = lambda x: F.when(F.size(x) == 0, 1.0).otherwise(S.ratio(F.size(F.filter(x, gibberish)), F.size(x)))
     return {
         "alpha_ratio": S.ratio(F.length(F.regexp_replace(t, r"[^\p{L}]", "")), F.length(t)),
         "word_count": F.size(T.words(t)),
         "char_run": t.rlike(r"(?s)(.)\1{5,}"),
-        "gibberish_ratio": F.when(F.size(tokens) == 0, 1.0).otherwise(S.ratio(bad, F.size(tokens))),
+        "gibberish_ratio": T.let(tokens, share),
     }
 
 
@@ -67,7 +67,7 @@ def nonsense(question: Column, answer: Column) -> Column:
     """Strong if two of: few letters, under 3 words, a run of 6 equal characters, gibberish; weak if one."""
     s = nonsense_signals(answer)
     hits = (s["alpha_ratio"] < 0.55).cast("int") + (s["word_count"] < 3).cast("int") + s["char_run"].cast("int") + (s["gibberish_ratio"] >= 0.55).cast("int")
-    return F.when(F.trim(answer) == "", None).when(hits >= 2, "strong").when(hits == 1, "weak")
+    return F.when(F.trim(answer) == "", None).otherwise(T.let(hits, lambda h: F.when(h >= 2, "strong").when(h == 1, "weak")))
 
 
 def repetition_signals(answer: Column) -> dict[str, Column]:
@@ -91,10 +91,14 @@ def repetition_signals(answer: Column) -> dict[str, Column]:
 @rule("quality.repetition_basic")
 def repetition(question: Column, answer: Column) -> Column:
     """Speaks up for repeated lines, trigrams or few distinct tokens; the strong test has no floor of tokens."""
-    s = repetition_signals(answer)
-    hit = (s["duplicate_line_ratio"] >= 0.35) | (s["repeated_ngrams"] > 0) | ((s["tokens"] >= 8) & (s["unique_ratio"] <= 0.4))
-    strong = (s["duplicate_line_ratio"] >= 0.35 * 1.5) | (s["repeated_ngrams"] >= 2) | (s["unique_ratio"] <= 0.4)
-    return F.when(F.trim(answer) == "", None).when(hit & strong, "strong").when(hit, "weak")
+    signals = F.struct(*[v.alias(k) for k, v in repetition_signals(answer).items()])
+
+    def severity(s: Column) -> Column:
+        hit = (s["duplicate_line_ratio"] >= 0.35) | (s["repeated_ngrams"] > 0) | ((s["tokens"] >= 8) & (s["unique_ratio"] <= 0.4))
+        strong = (s["duplicate_line_ratio"] >= 0.35 * 1.5) | (s["repeated_ngrams"] >= 2) | (s["unique_ratio"] <= 0.4)
+        return F.when(hit & strong, "strong").when(hit, "weak")
+
+    return F.when(F.trim(answer) == "", None).otherwise(T.let(signals, severity))
 
 
 @rule("correctness.definition_sanity")

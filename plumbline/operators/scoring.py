@@ -74,23 +74,30 @@ def relevance(question: Column, answer: Column) -> Column:
 def tone(question: Column, answer: Column) -> Column:
     """From 1 (rude) to 5 (polite), by the first that holds of an ordered list of signs."""
     low = F.lower(F.regexp_replace(answer, r"^\s+|\s+$", ""))
-    starts = F.exists(F.split(low, r"[.!?]\s+"), lambda s: F.ltrim(s).rlike("^(" + "|".join(TRIVIALIZERS) + ")"))
-    n, asked = F.size(T.words(low)), F.size(T.words(F.lower(question)))
-    polite, empathy = T.count_phrases(low, POLITE), T.count_phrases(low, EMPATHY)
-    return (
-        F.when(low == "", 1)
-        .when(T.contains_any(low, (*BLAME, *PUSHY, *CONDESCENDING)), 1)
-        .when(starts, 1)
-        .when(T.contains_any(low, DISMISSIVE), 2)
-        .when((n < 10) & (asked > 15) & ~T.contains_any(low, SOOTHING), 2)
-        .when(low.rlike("|".join(RUDE)), 1)
-        .when((empathy >= 1) & (polite >= 1) & (n > 30), 5)
-        .when((polite >= 2) & (n > 20), 5)
-        .when((polite >= 1) & (n > 20), 4)
-        .when((empathy >= 1) | (polite >= 1), 4)
-        .when(n > 25, 4)
-        .otherwise(3)
-    )
+
+    def graded(x: Column) -> Column:
+        low, n, asked, polite, empathy = (x[c] for c in ("low", "n", "asked", "polite", "empathy"))
+        starts = F.exists(F.split(low, r"[.!?]\s+"), lambda s: F.ltrim(s).rlike("^(" + "|".join(TRIVIALIZERS) + ")"))
+        return (
+            F.when(low == "", 1)
+            .when(T.contains_any(low, (*BLAME, *PUSHY, *CONDESCENDING)), 1)
+            .when(starts, 1)
+            .when(T.contains_any(low, DISMISSIVE), 2)
+            .when((n < 10) & (asked > 15) & ~T.contains_any(low, SOOTHING), 2)
+            .when(low.rlike("|".join(RUDE)), 1)
+            .when((empathy >= 1) & (polite >= 1) & (n > 30), 5)
+            .when((polite >= 2) & (n > 20), 5)
+            .when((polite >= 1) & (n > 20), 4)
+            .when((empathy >= 1) | (polite >= 1), 4)
+            .when(n > 25, 4)
+            .otherwise(3)
+        )
+
+    def counted(t: Column) -> Column:
+        asked = F.size(T.words(F.lower(question)))
+        return F.struct(t.alias("low"), F.size(T.words(t)).alias("n"), asked.alias("asked"), T.count_phrases(t, POLITE).alias("polite"), T.count_phrases(t, EMPATHY).alias("empathy"))
+
+    return T.let(T.let(low, counted), graded)
 
 
 def correctness(answer: Column) -> tuple[Column, Column]:
