@@ -49,7 +49,7 @@ class ChunkEncoder:
     letters goes straight to the tokenizer's model, in the letters that stand for its bytes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,7 +60,7 @@ class ChunkEncoder:
             shown = level.pre_tokenize_str(chr(i))[0][0]
             for byte, letter in zip(chr(i).encode(), shown, strict=True):
                 self.latin[byte] = letter
-        self.cache = WordCache(self._encode, limit=200_000)
+        self.cache = WordCache(self._encode, limit=words)
 
     def _encode(self, part: str) -> bytes:
         core = part.rstrip(ENDS)
@@ -86,9 +86,9 @@ class ChunkEncoder:
 
 
 @functools.cache
-def encoder_of(path: str) -> ChunkEncoder:
+def encoder_of(path: str, words: int) -> ChunkEncoder:
     """One encoder for each worker process, which keeps what it has learnt from task to task."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, words)
 
 
 class SumOfSquares:
@@ -169,6 +169,7 @@ def pack(
     text_col: str = "text",
     shard_chars: int = 16_000_000,
     with_ids: bool = True,
+    cache_words: int = 200_000,
 ) -> DataFrame:
     """All documents as pieces of sequences of at most ``size`` ids.
 
@@ -176,14 +177,15 @@ def pack(
     ``with_ids``, ids (little-endian unsigned 32-bit). A sequence's pieces are gapless from
     offset 0; ``sequence_id`` is shard * 2**32 + a number in the shard. A null or empty text
     is the end id alone; a null doc_id is packed as such; repeated rows are packed each for
-    itself; an empty table gives no rows; other columns of ``docs`` are not read.
+    itself; an empty table gives no rows; other columns of ``docs`` are not read. A worker keeps
+    the ids of at most twice ``cache_words`` words.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_path, cache_words), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, len(whole), 512):
                 pdf = whole.iloc[at : at + 512]
