@@ -25,7 +25,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: without lines that stood before; a document that loses all its lines stays, empty."""
-    kept = linededup.dedup_lines(docs, edits=1).drop("lines")
+    kept = linededup.dedup_lines(docs, edits=linededup.EDITS).drop("lines")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

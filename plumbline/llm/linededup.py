@@ -9,18 +9,23 @@ along, and pairs whose counts differ by more than the edits allow are dropped wh
 meet. What is left is verified by a bit-parallel automaton along the band of diagonals.
 
 Equal lines are one line from the start, found by hash aggregation with partial sums, so a
-line that stands in a third of all documents is one row for each task. Only hashes and
-places of lines are shuffled; texts are picked up for candidates alone. All of it is
-DataFrame operations.
+line that stands in a third of all documents is one row for each task. The join shuffles hashes of
+distinct lines alone; texts are picked up for candidates. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import text as T
 from plumbline.llm.common import cut
 
+#: (least length, edits) of a corpus: about one edit for 20 characters, and never more than five.
+EDITS = ((20, 1), (40, 2), (60, 3), (80, 4), (100, 5))
+
 #: Letters whose counts are compared, each modulo 256.
 LETTERS = "ehtaon"
 #: Most candidate lines that are broadcast to pick up their texts; beyond, they are joined by a shuffle.
@@ -73,8 +78,8 @@ def counts_apart(a: Column, b: Column) -> Column:
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether ``b`` is at most ``edits`` edits from ``a``, by a bit-parallel automaton.
 
-    ``2 * edits + 1`` bits stand for the diagonals of the band, once for each number of
-    errors, side by side in a long. A character of ``a`` moves them all at once: a match
+    Bits stand for the diagonals of the band, ``2 * e + 1`` for each number ``e`` of errors, as
+    more are out of reach, side by side in a long. A character of ``a`` moves them all at once: a match
     keeps a diagonal, and one error more allows a substitution (the same diagonal), a
     deletion (one lower) or an insertion (one higher). ``edits`` is at most 5.
     """
@@ -93,22 +98,22 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
     # let: the arrays of characters are made once
     masks = F.get(F.transform(F.array(F.struct(chars(a).alias("a"), chars(b).alias("b"))), matches), 0)
-    start = sum(((1 << (e + 1)) - 1) << (edits + e * width) for e in range(edits + 1))
+    start = sum(((1 << (e + 1)) - 1) << (e + e * e) for e in range(edits + 1))
 
     def step(state: Column, mask: Column) -> Column:
         levels, below_old, below_new = F.lit(0).cast("long"), None, None
         for e in range(edits + 1):
-            old = F.shiftright(state, e * width).bitwiseAND(band)
+            old = F.shiftleft(F.shiftright(state, e * e).bitwiseAND((1 << (2 * e + 1)) - 1), edits - e)
             new = old.bitwiseAND(mask)
             if e:
                 new = new.bitwiseOR(below_old).bitwiseOR(F.shiftright(below_old, 1)).bitwiseOR(F.shiftleft(below_new, 1)).bitwiseAND(band)
-            levels = levels.bitwiseOR(F.shiftleft(new, e * width))
+            levels = levels.bitwiseOR(F.shiftleft(F.shiftright(new, edits - e), e * e))
             below_old, below_new = old, new
         return levels
 
     end = F.aggregate(masks, F.lit(start).cast("long"), step)
     last = F.length(b) - F.length(a) + edits
-    bit = F.expr(f"{edits * width}") + last
+    bit = F.lit(edits * edits) + last
     return F.when(F.abs(F.length(b) - F.length(a)) <= edits, F.call_function("shiftrightunsigned", end, bit.cast("int")).bitwiseAND(1) == 1).otherwise(False)
 
 
@@ -125,43 +130,87 @@ def _lines(base: DataFrame, least: int) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit("g"), "line"))
 
 
-def distinct_lines(rows: DataFrame, edits: int) -> DataFrame:
-    """(h, g, first_d, n, counts, index, probes) of distinct lines, checkpointed.
+def steps_of(edits: int | Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(least length, edits) in rising order, the first for all shorter lines too."""
+    steps = [(0, edits)] if isinstance(edits, int) else sorted(edits)
+    allowed = [e for _, e in steps]
+    if not steps or allowed != sorted(allowed) or not all(1 <= e <= 5 for e in allowed):
+        raise ValueError("edits is from 1 to 5, and longer lines are allowed no fewer")
+    return steps
+
+
+def allowed_edits(n: Column, steps: list[tuple[int, int]]) -> Column:
+    """Edits that a line of ``n`` characters allows; a pair's are those of the shorter."""
+    allowed = F.lit(steps[0][1])
+    for least, edits in steps[1:]:
+        allowed = F.when(n >= least, edits).otherwise(allowed)
+    return allowed
+
+
+def _segment(line: Column, n: Column, edits: Column, i: Column, shift: Column) -> Column:
+    """Hash of the substring where segment ``i`` of a line of ``n`` characters would be, ``shift`` characters on; null outside."""
+    width = F.floor(n / (edits + 1)).cast("int")
+    wider = edits + 1 - n % (edits + 1)
+    start = i * width + F.greatest(F.lit(0), i - wider) + shift
+    width = width + (wider <= i).cast("int")
+    return F.when((start >= 0) & (start + width <= F.length(line)), F.xxhash64(edits, i, F.substring(line, start + 1, width)))
+
+
+def stepped_keys(line: Column, n: Column, steps: list[tuple[int, int]]) -> tuple[Column, Column]:
+    """(index, probes): :func:`index_keys` and :func:`probe_keys` where lines allow edits by their length ``n``.
+
+    The hash has the shorter line's edits in place of its length, so substrings that several lengths
+    ask for are one key. The places to look at are a table by edits, not an expression for each.
+    """
+    most = steps[-1][1]
+    index = T.let(allowed_edits(n, steps), lambda e: F.transform(F.sequence(F.lit(0), e), lambda i: _segment(line, n, e, i, F.lit(0))))
+
+    def probes(shorter: int) -> Column:
+        moves = lambda e: [i * 16 + shift + 8 for i in range(e + 1) for shift in range(max(-i, shorter - (e - i)), min(i, shorter + (e - i)) + 1)] if shorter <= e else []
+        table = F.array(*[F.array(*map(F.lit, moves(e))).cast("array<int>") for e in range(most + 1)])
+        found = lambda e: F.transform(F.get(table, e), lambda x: _segment(line, n - shorter, e, F.shiftright(x, 4), x.bitwiseAND(15) - 8))
+        return T.let(allowed_edits(n - shorter, steps), found)
+
+    return index, F.array_distinct(F.array_compact(F.concat(*map(probes, range(most + 1)))))
+
+
+def distinct_lines(rows: DataFrame) -> DataFrame:
+    """(h, g, first, n, line, size, counts) of distinct lines, checkpointed.
 
-    ``first_d`` is the first document's id and ``n`` the number of documents. Hashes of all
-    segments and substrings are made in the scan, and the aggregate is over numbers alone, so
-    that no text is moved.
+    ``first`` is the first place and ``n`` the number of documents. A line's text is moved once
+    for each task that has it.
     """
-    line = F.col("line")
-    keys = {f"i{j}": key for j, key in enumerate(index_keys(line, edits))} | {f"p{j}": key for j, key in enumerate(probe_keys(line, edits))}
-    hashed = rows.where("not again").select("h", "g", "d", letter_counts(line).alias("counts"), *[key.alias(name) for name, key in keys.items()])
-    found = hashed.groupBy("h", "g").agg(F.min("d").alias("first_d"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("counts", *keys)])
-    index, probes = (F.array(*[name for name in keys if name[0] == side]).alias(into) for side, into in (("i", "index"), ("p", "probes")))
-    return cut(found.select("h", "g", "first_d", "n", "counts", index, probes))
+    found = rows.where("not again").groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
+    return cut(found.select("h", "g", "first", "n", "line", F.length("line").alias("size"), letter_counts(F.col("line")).alias("counts")))
 
 
-def candidates(distinct: DataFrame, edits: int) -> DataFrame:
-    """(a, b): hashes h of distinct lines that share a segment and have like letter counts, a < b."""
-    index = distinct.select("h", "counts", F.explode("index").alias("key"))
-    probes = distinct.select(F.col("h").alias("h2"), F.col("counts").alias("counts2"), F.explode("probes").alias("key2")).where("key2 is not null")
-    met = (F.col("key") == F.col("key2")) & (F.col("h") != F.col("h2")) & (counts_apart(F.col("counts"), F.col("counts2")) <= 2 * edits)
-    return index.join(probes, met).select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct()
+def candidates(distinct: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """(a, b): hashes h of distinct lines that share a segment, whose lengths and letter counts are alike; ``a`` is no longer than ``b``."""
+    index_key, probe_key = stepped_keys(F.col("line"), F.col("size"), steps)
+    index = distinct.select(F.col("h").alias("a"), F.col("size").alias("size_a"), F.col("counts").alias("counts_a"), F.explode(index_key).alias("key"))
+    probes = distinct.select(F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("counts").alias("counts_b"), F.explode(probe_key).alias("key"))
+    most, longer = allowed_edits(F.col("size_a"), steps), F.col("size_b") - F.col("size_a")
+    alike = (F.col("a") != F.col("b")) & (longer >= 0) & (longer <= most) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * most)
+    return index.join(probes, "key").where(alike).select("a", "b").distinct()
 
 
-def near_lines(rows: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
-    """(h, g) of distinct lines that are within ``edits`` edits of one whose first place is before theirs."""
-    pairs = cut(candidates(distinct, edits))
+def near_lines(distinct: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """(h, g) of distinct lines that are within the shorter's edits of one whose first place is before theirs."""
+    pairs = cut(candidates(distinct, steps))
     wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     small = wanted.count() <= BROADCAST_ROWS
-    texts = rows.join(F.broadcast(wanted) if small else wanted, "h")
-    texts = cut(texts.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.first("line").alias("line")))
-    side = lambda name: texts.select(F.col("h").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("g", "first", "line")])
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), edits))
+    texts = cut(distinct.join(F.broadcast(wanted) if small else wanted, "h").select("h", "g", "first", "line", "size"))
+    side = lambda name: texts.select(F.col("h").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("g", "first", "line", "size")])
+    pairs, close = pairs.join(side("a"), "a").join(side("b"), "b"), F.lit(False)
+    allowed = allowed_edits(F.least("size_a", "size_b"), steps)
+    for edits in sorted({e for _, e in steps}):
+        close = F.when(allowed == edits, within(F.col("line_a"), F.col("line_b"), edits)).otherwise(close)
+    pairs = pairs.where(close)
     later = F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("a").alias("h"), F.col("g_a").alias("g"))).otherwise(F.struct(F.col("b").alias("h"), F.col("g_b").alias("g")))
     return pairs.select(later.alias("l")).select("l.*").distinct()
 
 
-def dedup_lines(docs: DataFrame, *, edits: int = 1, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, edits: int | Sequence[tuple[int, int]] = 1, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without lines that stood before, or stood before within ``edits`` edits.
 
     Lines are compared without white space at their ends and in lower case; shorter ones
@@ -170,20 +219,21 @@ def dedup_lines(docs: DataFrame, *, edits: int = 1, least: int = 20, id_col: str
     after that of another line within ``edits`` edits, whether or not that one goes itself;
     places are in the order of doc_id, a hash of the text, and position. Rows that share a
     doc_id don't take equal lines from one another; rows equal in id and text get the same result.
+    ``edits`` is a number, or (least length, edits) for lines of that length on; of two lines
+    the shorter one's holds.
 
     Returns all columns of ``docs``, ``text_col`` with the lines that stay, and before them
     a struct ``lines`` of longs: total, repeated, near, kept (it replaces a column of that name). Null texts stay null (0
     lines); if all lines go the text is empty; an empty table gives no rows.
     """
-    if not 1 <= edits <= 5:
-        raise ValueError("edits is from 1 to 5")
+    steps = steps_of(edits)
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     base = docs.select(d.alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("text is not null")
     rows = _lines(base, least)
-    distinct = distinct_lines(rows, edits)
-    near = near_lines(rows, distinct, edits).withColumn("near", F.lit(True))
+    distinct = distinct_lines(rows)
+    near = near_lines(distinct, steps).withColumn("near", F.lit(True))
     # Lines of which something goes.
-    known = distinct.select("h", "g", "first_d", "n").join(near, ["h", "g"], "left").where("n > 1 or near").select("h", "g", "first_d", F.coalesce("near", F.lit(False)).alias("near"))
+    known = distinct.select("h", "g", F.col("first.d").alias("first_d"), "n").join(near, ["h", "g"], "left").where("n > 1 or near").select("h", "g", "first_d", F.coalesce("near", F.lit(False)).alias("near"))
     places = rows.select("h", "g", "d", "t", "pos", "again").join(known, ["h", "g"], "left")
     repeated = F.col("again") | F.coalesce(F.col("d") != F.col("first_d"), F.lit(False))
     gone = places.withColumn("repeated", repeated).where(F.col("repeated") | F.col("near"))

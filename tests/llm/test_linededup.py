@@ -99,3 +99,43 @@ def test_edges(spark):
     assert ld.dedup_lines(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         ld.dedup_lines(df, edits=0)
+
+
+@pytest.mark.parametrize("edits", [4, 5])
+def test_automaton_of_many_edits(spark, edits):
+    r = random.Random(edits)
+    pairs = [(a, edited(r, a, r.randint(0, edits + 3))) for a in ("".join(r.choices("abcé ", k=r.randint(8, 40))) for _ in range(300))]
+    out = spark.createDataFrame(pairs, "a string, b string").select("a", "b", ld.within(F.col("a"), F.col("b"), edits).alias("w")).collect()
+    assert all(x.w == (edit_distance(x.a, x.b) <= edits) for x in out) and 30 < sum(x.w for x in out) < 290
+
+
+def test_edits_by_length(spark):
+    steps = ((20, 1), (40, 2), (60, 3), (80, 4), (100, 5))
+    r, documents = random.Random(3), []
+    for i in range(60):
+        line = "".join(r.choices("abcdefghij ", k=r.choice([25, 38, 40, 42, 59, 61, 79, 82, 98, 100, 103, 150]))).strip()
+        documents += [(3 * i + k, edited(r, line, n) + "\n" + edited(r, line, n + 1)) for k, n in enumerate(r.sample(range(6), 3))]
+    out = ld.dedup_lines(spark.createDataFrame(documents, "doc_id long, text string").repartition(3), edits=steps)
+    places = [(d, i, raw.strip().lower()) for d, t in documents for i, raw in enumerate(t.split("\n"))]
+    allowed = lambda n: max(e for least, e in steps if n >= least)
+    gone, near = {}, 0
+    for at, (d, i, k) in enumerate(places):
+        before = [x for _, _, x in places[:at]]
+        close = any(abs(len(x) - len(k)) <= 5 and edit_distance(x, k) <= allowed(min(len(x), len(k))) for x in before if x != k)
+        near += k not in before and close
+        if k in before or close:
+            gone.setdefault(d, set()).add(i)
+    want = sorted((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ()))) for d, t in documents)
+    assert sorted((x.doc_id, x.text) for x in out.collect()) == want and near > 60
+
+
+def test_the_registered_uses_find_five_edits_in_a_long_line(spark, tmp_path):
+    import corpus_pipeline
+    from plumbline.llm import registry
+
+    line = "".join(random.Random(9).choices("abcdefghijkl ", k=120))
+    other = line[:10] + "ZZ" + line[12:50] + line[51:90] + "Y" + line[90:110] + "X" + line[111:]
+    df = spark.createDataFrame([(1, line, 120), (2, other, 120), (3, "W" + other, 121)], "doc_id long, text string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (registry.op5_line_dedup(spark, str(tmp_path)), corpus_pipeline.line_dedup(spark, df, str(tmp_path))):
+        assert {x.doc_id for x in out.collect() if not x.text} == {2, 3}
