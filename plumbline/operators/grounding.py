@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from plumbline.functions import stats as S
 from plumbline.functions import text as T
+from plumbline.operators import properties
 
 
 def lexical_match(sentence: Column, source: Column, source_sentences: Column, least: float = 0.80) -> Column:
@@ -31,6 +34,26 @@ def near_exact(sentence: pd.Series, sources: pd.Series) -> pd.Series:
     return pd.Series([any(one(clean(s), clean(x)) for x in many) for s, many in zip(sentence, sources, strict=True)])
 
 
+def grounding_ratio(response: Column, context: Column, embed: Callable[[Column], Column], threshold: float = 0.60) -> tuple[Column, Column]:
+    """(ratio, least) of a response's sentences: the share whose best cosine with a context sentence is ``threshold`` or more, and the worst of those best.
+
+    Every sentence is held against every one of its context. Without response sentences both are
+    1.0; without context sentences both are the overlap of tokens. ``embed`` makes a sentence a vector.
+    """
+    vectors = lambda text: F.transform(T.sentences(text), lambda s: embed(s))
+    highest = lambda x: F.transform(x["r"], lambda v: F.array_max(F.transform(x["c"], lambda w: S.cosine(v, w))))
+    best = T.let(F.struct(vectors(F.coalesce(response, F.lit(""))).alias("r"), vectors(F.coalesce(context, F.lit(""))).alias("c")), lambda x: F.when(F.size(x["c"]) > 0, highest(x)).when(F.size(x["r"]) == 0, F.array().cast("array<double>")))
+    shared = properties.token_overlap(F.coalesce(response, F.lit("")), F.coalesce(context, F.lit("")))
+
+    def judged(b: Column) -> Column:
+        grounded = S.ratio(F.size(F.filter(b, lambda v: v >= threshold)), F.size(b))
+        empty = F.size(b) == 0
+        return F.when(b.isNull(), F.struct(shared.alias("ratio"), shared.alias("least"))).when(empty, F.struct(F.lit(1.0).alias("ratio"), F.lit(1.0).alias("least"))).otherwise(F.struct(grounded.alias("ratio"), F.array_min(b).alias("least")))
+
+    found = T.let(best, judged)
+    return found["ratio"], found["least"]
+
+
 def gate(ratio: Column, least_similarity: Column, threshold: float = 0.80, least: float = 0.30) -> Column:
     """pass, ambiguous (just under a threshold) or fail, by share of grounded sentences and the least similarity."""
     low, weak = ratio < threshold, least_similarity < least

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog import query
 from plumbline.functions import stats as S
 from plumbline.operators import graphs, grounding, providers, ranking
-from plumbline.plans.base import governance_events, table
+from plumbline.plans.base import governance_events, pairs, table
 from plumbline.sources import benchmarks
 from plumbline.streaming import logs as streams
 
@@ -140,10 +140,10 @@ def _(spark, d):
 
 @query("grounding_ratio")
 def _(spark, d):
-    """Share of a source's pairs of hashed sentence embeddings over a threshold, by document; no oracle, as the hash is Spark's."""
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b"))
-    similar = S.cosine(providers.hashed_embedding(F.col("a"), 64), providers.hashed_embedding(F.col("b"), 64))
-    return rows.select("conv_id", similar.alias("similarity"), grounding.bands(similar).alias("band"))
+    """Every answer's sentences against every sentence of its question, as hashed embeddings; no oracle, as the hash is Spark's."""
+    ratio, least = grounding.grounding_ratio(F.col("answer"), F.col("question"), lambda s: providers.hashed_embedding(s, 64))
+    rows = pairs(spark, d).select("conv_id", "turn", ratio.alias("ratio"), least.alias("least_similarity"))
+    return rows.select("*", grounding.gate(F.col("ratio"), F.col("least_similarity")).alias("decision"))
 
 
 @query("fabrication", "SELECT vec_id, best < 0.3 AS suspect FROM (SELECT a.vec_id, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS best FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1)")

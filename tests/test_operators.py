@@ -256,3 +256,36 @@ def test_claims_and_extended_rules(spark):
     assert say("Here Julia paid 77 and always won") == {"entity_unknown", "number_unknown", "qualifier_stronger"}
     assert "negation_flipped" in say("the quick brown fox never jumps over lazy dogs today")
     assert say("quick brown fox jumps") == {"covered"}
+
+
+def test_grounding_ratio(spark, tmp_path):
+    import math
+
+    import __spark_entry__ as entry
+
+    same, near, other = "The red cat sat down.", "The red cat stood up.", "Numbers are going away."
+    cases = [(f"{same} {other}", f"{near} {same}"), (f"{near} {other}", same), (f"{same} {near} {other}", f"{other} {same}"), ("short", same), (same, "short"), (same, None), (None, same)]
+    embed = lambda s: providers.hashed_embedding(s, 64)
+    vector = {s: one(spark, embed(F.lit(s))) for s in (same, near, other)}
+
+    def cosine(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(vector[x], vector[y], strict=True))
+        return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+
+    def brute(response, context):
+        found = lambda t: [s for s in (same, near, other) if s in (t or "")]
+        if not found(response):
+            return 1.0, 1.0
+        if not found(context):
+            return 0.0, 0.0
+        best = [max(cosine(r, c) for c in found(context)) for r in found(response)]
+        return sum(b >= 0.6 - 1e-12 for b in best) / len(best), min(best)
+
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, r string, c string")
+    ratio, least = grounding.grounding_ratio(F.col("r"), F.col("c"), embed)
+    got = [(x.a, x.b) for x in df.select("i", ratio.alias("a"), least.alias("b")).orderBy("i").collect()]
+    assert got == [pytest.approx(brute(*c)) for c in cases] and got[0][0] == 0.5 and got[0][1] < 0.6
+    turns = [(1, 0, "user", same), (1, 1, "assistant", f"{same} {other}"), (1, 2, "user", other), (1, 3, "assistant", same), (1, 4, "user", same), (1, 5, "assistant", same)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = values(entry.queries()["grounding_ratio"](spark, str(tmp_path)), "turn", "ratio", "decision")
+    assert rows == [(1, 0.5, "fail"), (3, 0.0, "fail"), (5, 1.0, "pass")]
