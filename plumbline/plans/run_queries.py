@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog import query
 from plumbline.functions import stats as S
 from plumbline.operators import diffing, drift, logs, ranking, robustness
-from plumbline.plans.base import GOVERNANCE, governance_events, human_labels, ratio, table
+from plumbline.plans.base import GOVERNANCE, governance_events, human_labels, pairs, ratio, table
 
 # Two runs over documents: one without a source, the other without another, by different rules.
 _RUN = """base AS (SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 'fail' ELSE 'pass' END AS decision, (1 + n_chars % 5)::BIGINT AS clarity, (1 + n_chars % 3)::BIGINT AS tone,
@@ -317,6 +317,13 @@ def _(spark, d):
     return robustness.consistency(table(spark, d, "documents").select("lang", at(1).alias("a"), at(-2).alias("b")), "a", "b", ("lang",))
 
 
+@query("position_bias_scored")
+def _(spark, d):
+    """Answers scored with the turns before them in original and in reversed order; the tests hold the operator against two scores."""
+    opening = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
+    return robustness.position_bias(pairs(spark, d).join(opening, "conv_id"))
+
+
 @query("self_preference", "SELECT count(*) FILTER (own) AS n_own, count(*) FILTER (NOT own) AS n_other, sum(s) FILTER (own)::DOUBLE / count(*) FILTER (own)::DOUBLE - sum(s) FILTER (NOT own)::DOUBLE / count(*) FILTER (NOT own)::DOUBLE AS delta, CASE WHEN abs(sum(s) FILTER (own)::DOUBLE / count(*) FILTER (own)::DOUBLE - sum(s) FILTER (NOT own)::DOUBLE / count(*) FILTER (NOT own)::DOUBLE) > 0.5 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM (SELECT lang = 'en' AS own, 1 + n_chars % 5 AS s FROM documents)")
 def _(spark, d):
     return robustness.preference(table(spark, d, "documents"), 1 + F.col("n_chars") % 5, F.col("lang") == "en")

@@ -289,3 +289,16 @@ def test_grounding_ratio(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     rows = values(entry.queries()["grounding_ratio"](spark, str(tmp_path)), "turn", "ratio", "decision")
     assert rows == [(1, 0.5, "fail"), (3, 0.0, "fail"), (5, 1.0, "pass")]
+
+
+def test_position_bias_scores_both_orders(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    good = "You can reset the wireless router with the small button on its back, please wait a minute."
+    turns = [(1, 0, "user", "How do I reset my wireless router?"), (1, 1, "assistant", good), (1, 2, "user", "Bananas?"), (1, 3, "assistant", good), (2, 0, "system", "Router button reset."), (2, 1, "user", "Bananas?"), (2, 2, "assistant", "")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    cases = [("How do I reset my wireless router?", "How do I reset my wireless router?", good), ("Bananas?", "How do I reset my wireless router?", good), ("Bananas?", "Router button reset.", "")]
+    decide = lambda q, a: scoring.score(spark.createDataFrame([(q, a)], "question string, answer string")).first().decision
+    differ = sum(decide(last, a) != decide(first, a) for last, first, a in cases)
+    row = entry.queries()["position_bias_scored"](spark, str(tmp_path)).first()
+    assert (row.n, row.inconsistent, row.verdict) == (3, differ, "FAIL") and differ == 1
