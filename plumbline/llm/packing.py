@@ -76,7 +76,8 @@ class ChunkEncoder:
     def encode(self, text: str | None) -> bytes:
         """The ids, four bytes each."""
         cache, text = self.cache, text or ""
-        if not OTHER.search(text):
+        # Special tokens are matched on the raw text, so what may be one keeps its case.
+        if not OTHER.search(text) and "<|" not in text:
             text = text.lower()
         parts = STOP.sub(r" \1", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join([cache[p] for p in parts if p])

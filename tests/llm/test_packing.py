@@ -88,3 +88,9 @@ def test_pieces(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_special_tokens_in_capitals_are_words():
+    encoder, plain = ChunkEncoder(PATH), Tokenizer.from_file(PATH)
+    for text in ("<|ENDOFTEXT|>", "A Word <|EndOfText|> and MORE <|STARTOFTEXT|>.", "Plain <|endoftext|> TEXT"):
+        assert encoder(text).tolist() == plain.encode(text, add_special_tokens=False).ids
