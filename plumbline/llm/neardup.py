@@ -231,9 +231,7 @@ def near_duplicates(
         pairs = _pivot_pairs(state, wave, *filters) if wave < WAVES else _open_pairs(state, *filters)
         pairs = cut(pairs if tested is None else pairs.join(tested, ["pivot", "node"], "left_anti"))
         if pairs.isEmpty():
-            if wave:
-                continue
-            break
+            continue
         if sets is None:
             # Pairs of later waves are of buckets of three and more.
             wanted = pairs.select(F.col("pivot").alias("doc_id")).union(pairs.select("node")).union(buckets.where("members > 2").select("node")).distinct()

@@ -104,3 +104,19 @@ def test_odd_sketches_estimate_high_similarities():
         wrong.append(odd_sketch_similarity(apart, 140, 512) - 0.8)
         passed += apart <= limit
     assert passed == 200 and abs(np.mean(wrong)) < 0.01 and np.std(wrong) < 0.06
+
+
+def test_a_link_beside_a_pivot_that_is_alike_to_none(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefgh", k=8))
+    shingler = Shingler(1, 1, 5, 512)
+    for _ in range(5_000):
+        base = [word() for _ in range(100)]
+        texts = [" ".join(base[:80] + [word() for _ in range(20)]), " ".join(base), " ".join(base[:97] + [word() for _ in range(3)])]
+        bands, _ = shingler.signatures([shingler.shingles(t) for t in texts])
+        sets = [neardup.set_id(shingler.shingles(t)) for t in texts]
+        if len(set(bands[:, 0])) == 1 and sets[0] == min(sets):
+            break
+    df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts, 1)], SCHEMA)
+    got = rows_of(near_duplicates(df, words=1, bands=1, rows=5))
+    assert [(d, c) for d, _, c, _ in got] == [(1, 1), (2, 2), (3, 2)]
