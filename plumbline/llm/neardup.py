@@ -220,8 +220,8 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sign = cut(signed(texts, settings))
     known = sign.where("set_id is not null and doc_id is not null")
-    # Equal sets are one class, named by its smallest doc_id.
-    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("node"))
+    # Equal sets are one class, named by set_id, as texts of one doc_id may differ; its smallest doc_id comes in at the end.
+    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("least"))
     buckets = _buckets(known)
     nodes = buckets.select("node").distinct()
     links, sets, tested = None, None, None
@@ -234,9 +234,10 @@ def near_duplicates(
             continue
         if sets is None:
             # Pairs of later waves are of buckets of three and more.
-            wanted = pairs.select(F.col("pivot").alias("doc_id")).union(pairs.select("node")).union(buckets.where("members > 2").select("node")).distinct()
-            sets = full_sets(texts.join(wanted, "doc_id"), settings).where("set_id is not null")
-            sets = cut(sets.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "set_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "shingles"))
+            wanted = pairs.select(F.col("pivot").alias("set_id")).union(pairs.select("node")).union(buckets.where("members > 2").select("node")).distinct()
+            wanted = cut(wanted.join(classes, "set_id").select("set_id", F.col("least").alias("doc_id")))
+            sets = full_sets(texts.join(wanted.select("doc_id").distinct(), "doc_id"), settings).where("set_id is not null")
+            sets = cut(sets.join(wanted, ["doc_id", "set_id"]).dropDuplicates(["set_id"]).select(F.col("set_id").alias("id"), "shingles"))
         found = cut(_confirmed(pairs, sets, percent))
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
@@ -244,7 +245,8 @@ def near_duplicates(
             labels = cut(components(nodes, links.withColumnsRenamed({"pivot": "a", "node": "b"}), rounds=2))
     if links is not None:
         labels = components(nodes, links.withColumnsRenamed({"pivot": "a", "node": "b"}))
-    named = classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
+    named = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("set_id", "component_id")
     out = sign.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     # An empty set is a component of its own; so is nothing whose id is null.
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -263,9 +265,9 @@ WAVES = 3
 
 
 def _buckets(known: DataFrame) -> DataFrame:
-    """(node, band, members, size, sketch) of the bands that several classes share."""
+    """(node, band, members, size, sketch) of the bands that several classes, named by set_id, share."""
     first = [F.first(c).alias(n) for c, n in (("n_shingles", "size"), ("bands", "bands"), ("sketch", "sketch"))]
-    classes = cut(known.groupBy("set_id").agg(F.min("doc_id").alias("node"), *first))
+    classes = cut(known.groupBy(F.col("set_id").alias("node")).agg(*first))
     rows = classes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     return cut(rows.join(shared, "band").join(classes.select("node", "size", "sketch"), "node"))

@@ -120,3 +120,10 @@ def test_a_link_beside_a_pivot_that_is_alike_to_none(spark):
     df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts, 1)], SCHEMA)
     got = rows_of(near_duplicates(df, words=1, bands=1, rows=5))
     assert [(d, c) for d, _, c, _ in got] == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_different_texts_of_one_id_have_each_their_links(spark):
+    a, b = [" ".join(f"{c}{i}" for i in range(80)) for c in "ab"]
+    documents = [(3, a), (7, a + " x"), (3, b), (1, b + " x"), (9, "y " + b), (8, "y " + a)]
+    got = rows_of(near_duplicates(spark.createDataFrame([(d, t, "", "") for d, t in documents], SCHEMA), words=4))
+    assert got == brute(documents) and [(d, c) for d, _, c, _ in got] == [(1, 1), (3, 1), (3, 3), (7, 3), (8, 3), (9, 1)]
