@@ -129,13 +129,11 @@ def test_edits_by_length(spark):
     assert sorted((x.doc_id, x.text) for x in out.collect()) == want and near > 60
 
 
-def test_the_registered_uses_find_five_edits_in_a_long_line(spark, tmp_path):
-    import corpus_pipeline
+def test_the_registered_query_finds_five_edits_in_a_long_line(spark, tmp_path):
     from plumbline.llm import registry
 
     line = "".join(random.Random(9).choices("abcdefghijkl ", k=120))
     other = line[:10] + "ZZ" + line[12:50] + line[51:90] + "Y" + line[90:110] + "X" + line[111:]
     df = spark.createDataFrame([(1, line, 120), (2, other, 120), (3, "W" + other, 121)], "doc_id long, text string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    for out in (registry.op5_line_dedup(spark, str(tmp_path)), corpus_pipeline.line_dedup(spark, df, str(tmp_path))):
-        assert {x.doc_id for x in out.collect() if not x.text} == {2, 3}
+    assert {x.doc_id for x in registry.op5_line_dedup(spark, str(tmp_path)).collect() if not x.text} == {2, 3}
