@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables written to the shared folder and read again, for steps that build on one another in a loop.
+
+    Unlike a checkpoint, a table's size is that of its files: a checkpoint keeps the estimate of the plan
+    it cuts, which squares with every join of a loop until planning takes longer than the work.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.names = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table."""
+        path = f"{self.root}/{len(self.names)}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.names[id(table)] = table, path
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes tables that nothing uses any more; what is not a table of this set is passed over."""
+        for table in tables:
+            _, path = self.names.get(id(table), (None, None))
+            if path:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+                self.names[id(table)] = table, None
+
+
 class WordCache(dict):
     """A dictionary from word to ``make(word)`` that holds at most twice ``limit`` words.
 

@@ -6,14 +6,17 @@ sketch: every sample, with its number, flips one bit of a bitmap, so the bits in
 sketches differ estimate how many samples differ, most precisely where few do. Classes
 whose samples agree on a whole band are candidates.
 
-Candidates of a band's bucket are never listed as pairs of all with all. In a first round
-the smallest class of a bucket is its pivot and all others are compared with it, in a
-second a class drawn for each band; the exclusive or of two sketches rejects the hopeless
-(a second bitmap, of all shingles, does so without loss), and what is left is confirmed on the full sets. Classes that links join become one
-component. A bucket whose classes are in one component by then is finished, since no
-further link can change a result. In the others, the classes outside the largest component
-are compared with all classes of other components in that bucket, again sketches first, so
-a link that matters is lost only where the bands or sketches miss it.
+Candidates of a band's bucket are never listed as pairs of all with all. In the first wave the
+most central class of a bucket, whose buckets are the largest, is its pivot, and all others are
+compared with it: the exclusive or of two sketches rejects the hopeless (a second bitmap, of
+all shingles, does so without loss), and what is left is confirmed on the full sets. Classes
+that links join become one component. A pivot has met its whole bucket and leaves it, and a
+bucket whose classes are in one component is finished, since no further link can change a
+result. In the others the next wave takes pivots from outside the largest component, 32 at
+first, then 32 times as many in each wave, until every bucket is finished. So a link that
+matters is lost only where the bands or sketches miss it, and the number of waves grows with
+the logarithm of a bucket. In the first wave rows of bands hold two numbers and no sketch;
+later rows are of the few open buckets alone.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WordCache, cut
+from plumbline.llm.common import Tables, WordCache, cut
 
 #: Bytes that separate words; no byte of a longer UTF-8 character is among them.
 SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -94,7 +97,7 @@ def odd_sketch_limit(samples: int, bits: int, similarity: float, sigmas: float =
     m = samples * (1 - similarity)
     kept = (1 - 2 / bits) ** (2 * m)
     by_samples = 2 * kept * (m * similarity) ** 0.5
-    by_places = (bits / 4 * (1 + (bits - 1) * (1 - 4 / bits) ** (2 * m) - bits * kept**2)) ** 0.5
+    by_places = max(0.0, bits / 4 * (1 + (bits - 1) * (1 - 4 / bits) ** (2 * m) - bits * kept**2)) ** 0.5
     return int(np.ceil(bits / 2 * (1 - kept) + sigmas * (by_samples**2 + by_places**2) ** 0.5))
 
 
@@ -164,29 +167,28 @@ def full_sets(rows: DataFrame, settings: tuple) -> DataFrame:
     return rows.mapInPandas(shingle, "doc_id long, set_id long, shingles array<long>")
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component): the smallest node each node reaches by ``links`` (a, b).
 
     In each round every node takes the smallest label among its own and its neighbours',
-    then that label's label. Rounds end when nothing changes, or after ``rounds``; then equal
-    components are surely linked, but unequal ones may be, too. Labels are checkpointed after
-    each round; nodes without links keep themselves.
+    then that label's label. Labels are written as a table in each round, and rounds end when
+    nothing changes; nodes without links keep themselves.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    both = cut(both) if rounds is None else both
-    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component"))
-    done = 1
-    while rounds is None or done < rounds:
-        labels = cut(labels) if done == 1 else labels
-        near = both.join(labels.withColumnsRenamed({"node": "b", "component": "c"}), "b").groupBy("a").agg(F.min("c").alias("c"))
+    tables = Tables(nodes.sparkSession)
+    both = tables.put(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = tables.put(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component"), F.lit(True).alias("new")))
+    changed = not labels.isEmpty()
+    while changed:
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         step = labels.join(near, labels.node == near.a).select("node", F.least("component", "c").alias("now"), F.col("component").alias("old"))
         # A label is itself a node, whose own label may be smaller still.
         jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        step = cut(step.join(jump, step.now == F.col("_n")).select("node", F.least("now", "_c").alias("component"), "old"))
-        labels, done = step.select("node", "component"), done + 1
-        if rounds is None and step.where("component <> old").isEmpty():
-            break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        before, now = labels, F.least("now", "_c")
+        labels = tables.put(step.join(jump, step.now == F.col("_n")).select("node", now.alias("component"), (now != F.col("old")).alias("new")))
+        tables.drop(before)
+        changed = not labels.where("new").isEmpty()
+    tables.drop(both)
+    return nodes.join(labels.drop("new"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def near_duplicates(
@@ -211,42 +213,59 @@ def near_duplicates(
     are kept if both are least. An empty table gives no rows.
 
     At the defaults a pair of exactly 0.8 shares no band with probability 1.5e-5 (28 bands of
-    five samples), and sketches reject it five deviations above their mean. Classes of equal
+    five samples), and sketches reject it 4.5 deviations above their mean. Classes of equal
     sets pass through as one row, shingle sets are moved only for classes that share a band.
+    A text of any length is one row of its task, whose set takes eight bytes for each word.
     """
     settings, limit = (words, bands, rows, sketch_bits), odd_sketch_limit(bands * rows, sketch_bits, similarity)
-    percent = round(similarity * 100)
-    filters = (sketch_bits, limit, percent)
+    percent, tables = round(similarity * 100), Tables(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sign = cut(signed(texts, settings))
+    # Equal sets are one class, a node named by its set_id, as texts of one doc_id may differ; its smallest doc_id comes in at the end.
+    first = [F.first(c).alias(n) for c, n in (("n_shingles", "size"), ("bands", "bands"), ("sketch", "sketch"))]
     known = sign.where("set_id is not null and doc_id is not null")
-    # Equal sets are one class, named by set_id, as texts of one doc_id may differ; its smallest doc_id comes in at the end.
-    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    buckets = _buckets(known)
-    nodes = buckets.select("node").distinct()
-    links, sets, tested = None, None, None
-    labels = nodes.withColumn("component", F.col("node"))
-    for wave in range(WAVES + 1):
-        state = buckets.join(labels, "node")
-        pairs = _pivot_pairs(state, wave, *filters) if wave < WAVES else _open_pairs(state, *filters)
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["pivot", "node"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        if sets is None:
-            # Pairs of later waves are of buckets of three and more.
-            wanted = pairs.select(F.col("pivot").alias("set_id")).union(pairs.select("node")).union(buckets.where("members > 2").select("node")).distinct()
-            wanted = cut(wanted.join(classes, "set_id").select("set_id", F.col("least").alias("doc_id")))
-            sets = full_sets(texts.join(wanted.select("doc_id").distinct(), "doc_id"), settings).where("set_id is not null")
-            sets = cut(sets.join(wanted, ["doc_id", "set_id"]).dropDuplicates(["set_id"]).select(F.col("set_id").alias("id"), "shingles"))
-        found = cut(_confirmed(pairs, sets, percent))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        if wave < WAVES:
-            labels = cut(components(nodes, links.withColumnsRenamed({"pivot": "a", "node": "b"}), rounds=2))
-    if links is not None:
-        labels = components(nodes, links.withColumnsRenamed({"pivot": "a", "node": "b"}))
-    named = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("set_id", "component_id")
+    classes = cut(known.groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *first))
+    state = _shared(classes, tables)
+    nodes = tables.put(classes.drop("bands").join(state.select("node").distinct(), "node", "left_semi"))
+    labels, sets, wave = None, None, 0
+    while True:
+        rows, pivots = _pivots(state, labels, wave, tables)
+        if rows is None:
+            break
+        if wave == 0:
+            near = rows.join(pivots, "band").where("component <> pivot_component").select("pivot", "node").distinct()
+            pairs = tables.put(_may_link(near, nodes, sketch_bits, limit, percent))
+        else:
+            # Few buckets are open, but many classes of one may be strange to all others: sketches come along, so that no pair is listed that they reject.
+            sketched = _sketched(pivots, "pivot", nodes).select("band", "pivot", "pivot_component", "_sketch_pivot", "_size_pivot")
+            alike = may_be_alike(F.col("_sketch_node"), F.col("_sketch_pivot"), F.col("_size_node") + F.col("_size_pivot"), sketch_bits, limit, percent)
+            sides = tables.put(_sketched(rows, "node", nodes)), tables.put(sketched)
+            pairs = tables.put(sides[0].join(sides[1], "band").where((F.col("component") != F.col("pivot_component")) & alike).select("pivot", "node").distinct())
+            tables.drop(*sides)
+        left = tables.put(rows.join(pivots.select("band", F.col("pivot").alias("node")), ["band", "node"], "left_anti").select("band", "node", "weight"))
+        tables.drop(state, rows, pivots)
+        state = left
+        if not pairs.isEmpty():
+            if sets is None:
+                # Pairs of later waves are of classes that are left in an open bucket.
+                later = state.join(state.groupBy("band").agg(F.count(F.lit(1)).alias("left")).where("left > 1"), "band")
+                sets = _sets_of(pairs.select(F.col("pivot").alias("node")).union(pairs.select("node")).union(later.select("node")), nodes, texts, settings, tables)
+            found = tables.put(_confirmed(pairs, sets, percent, tables))
+            if not found.isEmpty():
+                before, labels = labels, _joined(labels, found, tables)
+                tables.drop(before)
+            tables.drop(found)
+        tables.drop(pairs)
+        wave += 1
+    tables.drop(state, nodes, sets)
+    named = classes.select("node", "least", "copies")
+    if labels is None:
+        named = named.where("copies > 1").select(F.col("node").alias("set_id"), F.col("least").alias("component_id"))
+    else:
+        named = tables.put(named.join(labels, "node", "left").where("copies > 1 or component is not null").select("node", "least", F.coalesce("component", "node").alias("component")))
+        least = tables.put(named.groupBy("component").agg(F.min("least").alias("component_id")))
+        named = named.join(least, "component").select(F.col("node").alias("set_id"), "component_id")
+    named = tables.put(named)
     out = sign.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     # An empty set is a component of its own; so is nothing whose id is null.
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -260,43 +279,86 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **settin
     return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
 
 
-#: Rounds of comparing each unfinished bucket with one of its classes, before all that is left.
-WAVES = 3
+#: Waves that take one pivot for each unfinished bucket, before they take more and more.
+WAVES = 1
+#: Most documents whose ids are broadcast to pick up their texts; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def _buckets(known: DataFrame) -> DataFrame:
-    """(node, band, members, size, sketch) of the bands that several classes, named by set_id, share."""
-    first = [F.first(c).alias(n) for c, n in (("n_shingles", "size"), ("bands", "bands"), ("sketch", "sketch"))]
-    classes = cut(known.groupBy(F.col("set_id").alias("node")).agg(*first))
+def _shared(classes: DataFrame, tables: Tables) -> DataFrame:
+    """(band, node, weight) of bands that several classes share; a class's weight is the sum of its buckets' sizes."""
     rows = classes.select("node", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return cut(rows.join(shared, "band").join(classes.select("node", "size", "sketch"), "node"))
-
-
-def _pivot_pairs(state: DataFrame, wave: int, bits: int, limit: int, percent: int) -> DataFrame:
-    """(pivot, node): a class of each unfinished bucket with those of other components that the sketches let pass."""
-    order = F.col("node") if wave == 0 else F.xxhash64("node", "band", F.lit(wave))
-    pivots = state.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "component", "size", "sketch")).alias("p"), F.min("component").alias("least"), F.max("component").alias("most"))
-    pivots = pivots.where("least <> most").select("band", "p")
-    near = may_be_alike(F.col("sketch"), F.col("p.sketch"), F.col("size") + F.col("p.size"), bits, limit, percent)
-    return state.join(pivots, (state.band == pivots.band) & (F.col("component") != F.col("p.component")) & near).select(F.col("p.node").alias("pivot"), "node").distinct()
-
-
-def _open_pairs(state: DataFrame, bits: int, limit: int, percent: int) -> DataFrame:
-    """(pivot, node): classes outside the largest component of a bucket with all of other components there."""
-    sizes = state.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    rest = state.alias("s").join(sizes.where("parts > 1").alias("m"), (F.col("s.band") == F.col("m.band")) & (F.col("s.component") != F.col("m.main.component")))
-    rest = rest.select(F.col("s.band").alias("b"), F.col("s.node").alias("pivot"), F.col("s.component").alias("c"), F.col("s.size").alias("z"), F.col("s.sketch").alias("k"))
-    near = may_be_alike(F.col("sketch"), F.col("k"), F.col("size") + F.col("z"), bits, limit, percent)
-    return rest.join(state, (F.col("b") == F.col("band")) & (F.col("c") != F.col("component")) & near).select("pivot", "node").distinct()
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough; a pivot's pairs are dealt over several tasks."""
-    both = pairs.join(sets.withColumnsRenamed({"id": "node", "shingles": "_a"}), "node")
-    salts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("_salts"))
+    # As tables of their own, aggregates are plain sides of joins, in which adaptive execution can split a hot band.
+    members = tables.put(rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    shared = tables.put(rows.join(members, "band"))
+    weights = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    state = tables.put(shared.join(weights, "node").select("band", "node", "weight"))
+    tables.drop(members, shared)
+    return state
+
+
+def _pivots(state: DataFrame, labels: DataFrame | None, wave: int, tables: Tables) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of unfinished buckets with their component, this wave's pivots there); None if all are finished."""
+    component = F.col("node") if labels is None else F.coalesce("component", "node")
+    rows = (state if labels is None else state.join(labels, "node", "left")).withColumn("component", component)
+    named = [F.col("node").alias("pivot"), F.col("component").alias("pivot_component")]
+    if wave == 0:
+        central = rows.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("p"))
+        pivots = tables.put(central.select("band", F.col("p.node").alias("pivot"), F.col("p.node").alias("pivot_component")))
+        return (None, None) if pivots.isEmpty() else (rows, pivots)
+    rows = tables.put(rows)
+    sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    unfinished = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    unfinished = tables.put(unfinished.select("band", F.col("main.component").alias("main")))
+    if unfinished.isEmpty():
+        return None, None
+    all_rows, rows = rows, tables.put(rows.join(unfinished, "band"))
+    tables.drop(all_rows, unfinished)
+    order = Window.partitionBy("band").orderBy(F.desc("weight"), "node")
+    rest = rows.where("component <> main").withColumn("place", F.row_number().over(order)).where(F.col("place") <= 32 ** max(0, wave - WAVES + 1))
+    return rows, tables.put(rest.select("band", *named))
+
+
+def _sketched(rows: DataFrame, name: str, nodes: DataFrame) -> DataFrame:
+    """``rows`` with size and sketch of the class in column ``name``."""
+    return rows.join(nodes.select(F.col("node").alias(name), F.col("size").alias(f"_size_{name}"), F.col("sketch").alias(f"_sketch_{name}")), name)
+
+
+def _may_link(pairs: DataFrame, nodes: DataFrame, bits: int, limit: int, percent: int) -> DataFrame:
+    """The pairs (pivot, node) whose sketches speak for a link or leave it open."""
+    both = _sketched(_sketched(pairs, "node", nodes), "pivot", nodes)
+    return both.where(may_be_alike(F.col("_sketch_node"), F.col("_sketch_pivot"), F.col("_size_node") + F.col("_size_pivot"), bits, limit, percent)).select("pivot", "node")
+
+
+def _sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, settings: tuple, tables: Tables) -> DataFrame:
+    """(id, shingles) of the classes ``wanted``, of the text of their smallest doc_id."""
+    wanted = tables.put(nodes.join(wanted.distinct(), "node", "left_semi").select(F.col("node").alias("set_id"), F.col("least").alias("doc_id")))
+    ids = wanted.select("doc_id").distinct()
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
+    sets = full_sets(texts.join(ids, "doc_id", "left_semi"), settings).where("set_id is not null")
+    return tables.put(sets.join(wanted, ["doc_id", "set_id"]).dropDuplicates(["set_id"]).select(F.col("set_id").alias("id"), "shingles"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """The pairs whose full sets are similar enough; a pivot's pairs are dealt over several tasks before sets join them."""
+    salts = tables.put(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("_salts")))
+    dealt = pairs.join(salts, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("_salts")).cast("int").alias("_salt"))
     pivots = salts.join(sets.withColumnsRenamed({"id": "pivot", "shingles": "_b"}), "pivot").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    both = both.join(salts, "pivot").withColumn("_salt", F.pmod(F.xxhash64("node"), F.col("_salts")).cast("int")).drop("_salts")
-    both = both.join(pivots.drop("_salts"), ["pivot", "_salt"])
+    both = dealt.join(sets.withColumnsRenamed({"id": "node", "shingles": "_a"}), "node").join(pivots.drop("_salts"), ["pivot", "_salt"])
     shared = F.size(F.array_intersect("_a", "_b"))
     return both.where(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("pivot", "node")
+
+
+def _joined(labels: DataFrame | None, found: DataFrame, tables: Tables) -> DataFrame:
+    """(node, component) of all linked nodes, when ``found`` links (pivot, node) come to what ``labels`` has linked."""
+    links = found.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    if labels is not None:
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+        links = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        links = tables.put(links.where("a <> b").distinct())
+    met = tables.put(components(links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct(), links))
+    if labels is None:
+        return met
+    now = met.select(F.col("node").alias("component"), F.col("component").alias("_now"))
+    old = labels.join(now, "component", "left").select("node", F.coalesce("_now", "component").alias("component"))
+    return tables.put(old.union(met).distinct())

@@ -127,3 +127,41 @@ def test_different_texts_of_one_id_have_each_their_links(spark):
     documents = [(3, a), (7, a + " x"), (3, b), (1, b + " x"), (9, "y " + b), (8, "y " + a)]
     got = rows_of(near_duplicates(spark.createDataFrame([(d, t, "", "") for d, t in documents], SCHEMA), words=4))
     assert got == brute(documents) and [(d, c) for d, _, c, _ in got] == [(1, 1), (3, 1), (3, 3), (7, 3), (8, 3), (9, 1)]
+
+
+def test_links_of_several_waves_come_together(spark, monkeypatch):
+    """One band of one sample: buckets of many unlike classes, whose links are found wave by wave."""
+    r, documents = random.Random(11), []
+    common = [f"c{i}" for i in range(40)]
+    for group in range(12):
+        base = common + [f"g{group}x{i}" for i in range(r.randint(5, 40))]
+        for _ in range(r.randint(1, 9)):
+            text = base[:]
+            for _ in range(r.randint(0, 5)):
+                text[r.randrange(40, len(text))] = f"y{r.random()}"
+            documents.append((len(documents) + 1, " ".join(text)))
+    met, joined = [], neardup._joined
+    monkeypatch.setattr(neardup, "_joined", lambda labels, *rest: met.append(labels is not None) or joined(labels, *rest))
+    df = spark.createDataFrame([(d, t, "", "") for d, t in documents], SCHEMA)
+    shingler = Shingler(1, 1, 1, 512)
+    bucket = {d: shingler.signatures([shingler.shingles(t)])[0][0, 0] for d, t in documents}
+    got = rows_of(near_duplicates(df, words=1, bands=1, rows=1))
+    # links that share the band, by brute force
+    sets, label = brute_sets(documents, 1), {d: d for d, _ in documents}
+    for _ in documents:
+        for i, (a, _) in enumerate(documents):
+            for j, (b, _) in enumerate(documents[:i]):
+                both = len(sets[i] & sets[j])
+                if bucket[a] == bucket[b] and 100 * both >= 80 * len(sets[i] | sets[j]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert {d: c for d, _, c, _ in got} == label and any(met) and len(set(label.values())) < len(documents) - 10
+
+
+def test_many_near_copies_and_a_text_of_a_megabyte(spark):
+    r, base = random.Random(2), [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:i], f"x{r.random()}", *base[i + 1 :]]) for i in (r.randrange(60) for _ in range(5_000))]
+    long = " ".join(f"v{r.random()}" for _ in range(60_000))
+    documents = [*enumerate(texts), (6_000, long), (6_001, long + " end"), (6_002, "other words of a clean text")]
+    got = rows_of(near_duplicates(spark.createDataFrame([(d, t, "", "") for d, t in documents], SCHEMA).repartition(8), words=4))
+    assert len(long) > 1_000_000
+    assert [(d, c) for d, _, c, _ in got] == [(i, 0) for i in range(5_000)] + [(6_000, 6_000), (6_001, 6_000), (6_002, 6_002)]
