@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-from plumbline.plans import more_queries, run_queries, scoring_queries, text_queries  # noqa: E402,F401  (they register their queries)
+from plumbline.plans import cascade_queries, more_queries, run_queries, scoring_queries, text_queries  # noqa: E402,F401  (they register their queries)

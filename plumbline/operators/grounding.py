@@ -23,6 +23,24 @@ def lexical_match(sentence: Column, source: Column, source_sentences: Column, le
     return F.when(T.squeezed(source).contains(T.squeezed(sentence)), "exact_substring").when(near, "token_overlap").otherwise("no_match")
 
 
+def match_type(sentence: Column, source: Column, source_sentences: Column, near: Column | None = None, least: float = 0.80) -> Column:
+    """The kinds of :func:`lexical_match` with near_exact between them, where ``near`` says so, as of :func:`near_exact`.
+
+    A sentence is cleared unless its kind is no_match.
+    """
+    kind = lexical_match(sentence, source, source_sentences, least)
+    return kind if near is None else F.when((kind != "exact_substring") & near, "near_exact").otherwise(kind)
+
+
+def cleared_sentences(sentences: DataFrame, sentence: str = "sentence", source: str = "source", source_sentences: str = "source_sentences") -> DataFrame:
+    """``sentences`` with match: words are compared in the JVM, and only what they leave open goes to the ratio in Python."""
+    kind = lexical_match(F.col(sentence), F.col(source), F.col(source_sentences))
+    rows = sentences.withColumn("match", kind)
+    done, left = rows.where("match = 'exact_substring'"), rows.where("match <> 'exact_substring'")
+    near = near_exact(F.col(sentence), F.col(source_sentences))
+    return done.unionByName(left.withColumn("match", F.when(near, "near_exact").otherwise(F.col("match"))))
+
+
 @F.pandas_udf(BooleanType())
 def near_exact(sentence: pd.Series, sources: pd.Series) -> pd.Series:
     """Whether a matching-blocks ratio of a sentence to one of its sources is over 0.85; hopeless lengths are skipped."""

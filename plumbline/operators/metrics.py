@@ -101,3 +101,11 @@ def funnel(rows: DataFrame, order: dict[str, int], layer: str = "layer", cleared
 def last_by(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
     """The last row of each key by a sequence number, whichever way rows are dealt."""
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), seq).alias("_r")).select("_r.*")
+
+
+def monotone(bins: DataFrame, order: str, value: str) -> DataFrame:
+    """One row (bins, monotonic, decision): whether no bin's value is under that of the one before it; bins are few."""
+    before = F.lag(value).over(Window.orderBy(order))
+    rows = bins.withColumn("_ok", F.coalesce(F.col(value) >= before, F.lit(True)))
+    ok = F.coalesce(F.bool_and("_ok"), F.lit(True))
+    return rows.agg(F.count(F.lit(1)).alias("bins"), ok.alias("monotonic"), F.when(ok, "pass").otherwise("fail").alias("decision"))

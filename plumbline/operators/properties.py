@@ -48,9 +48,9 @@ INJECTIONS = {
 }
 VAGUE = r"(?i)^(?:good|bad|ok|fine|adequate|acceptable|reasonable)\b|^(?:the response is|this is|it is)\s+(?:good|bad|ok|fine)|^(?:n/?a|none|no comment|see above)\s*$"
 EVALUATION_WORDS = (
-    "response answer question score rating evaluation dimension quality provides addresses clear unclear relevant irrelevant "
-    "correct incorrect tone clarity overall candidate user appropriate inappropriate"
-).split()
+    "response", "answer", "question", "score", "rating", "evaluation", "dimension", "quality", "provides", "addresses", "clear", "unclear",
+    "relevant", "irrelevant", "correct", "incorrect", "tone", "clarity", "overall", "candidate", "user", "appropriate", "inappropriate",
+)
 BULLET = r"(?:^|\n)\s*(?:[-•*]|\d+[.)]\s)"
 
 

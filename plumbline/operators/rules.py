@@ -5,10 +5,14 @@ Further rules join by :func:`rule`. A plan is a tuple of names; unknown ones are
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from plumbline.functions import stats as S
 from plumbline.functions import text as T
@@ -129,6 +133,46 @@ def arithmetic_wrong(question: Column, answer: Column) -> Column:
     return F.abs(said - value) > 1e-9
 
 
+EXPRESSION = re.compile(r"[-+]?\s*\d+(?:\.\d+)?(?:\s*[-+*/%]\s*[-+]?\s*\d+(?:\.\d+)?)+")
+ANCHORED = re.compile(r"(?:=\s*|(?:is|equals|are)\s+)([-+]?\d+(?:\.\d+)?)|([-+]?\d+(?:\.\d+)?)\s*[.!]?\s*$")
+
+
+def value_of(expression: str) -> float | None:
+    """The value of a chain of numbers with signs and + - * / %, products before sums; null for a division by 0.
+
+    A remainder has the sign of its divisor.
+    """
+    total, term, added, operator, sign, number_next = 0.0, 0.0, 1, "+", 1.0, True
+    for part in re.findall(r"\d+(?:\.\d+)?|[-+*/%]", expression):
+        if number_next and not part[0].isdigit():
+            sign = -sign if part == "-" else sign
+        elif number_next:
+            number, sign, number_next = sign * float(part), 1.0, False
+            if operator in "/%" and number == 0:
+                return None
+            if operator in "+-":
+                total, term, added = total + added * term, number, 1 if operator == "+" else -1
+            else:
+                term = term * number if operator == "*" else term / number if operator == "/" else term - number * math.floor(term / number)
+        else:
+            operator, number_next = part, True
+    return total + added * term
+
+
+@F.pandas_udf(BooleanType())
+def expression_wrong(question: pd.Series, answer: pd.Series) -> pd.Series:
+    """:func:`arithmetic_wrong` for expressions of any length; null if the question has no expression or the answer no number."""
+
+    def one(q: str | None, a: str | None) -> bool | None:
+        found = EXPRESSION.search(q or "")
+        value = value_of(found[0]) if found else None
+        hit = ANCHORED.search(a or "")
+        numbers = [x for x in (hit.groups() if hit else ()) if x] or re.findall(r"[-+]?\d+(?:\.\d+)?", a or "")[-1:]
+        return None if value is None or not numbers else abs(float(numbers[0]) - value) > 1e-9
+
+    return pd.Series([one(q, a) for q, a in zip(question, answer, strict=True)], dtype=object)
+
+
 @rule("correctness.basic")
 def basic_correctness(question: Column, answer: Column) -> Column:
     """Empty answers and wrong arithmetic are strong."""

@@ -15,9 +15,10 @@ from plumbline.operators import rules
 
 # Words and phrases that decide scores.
 STOPWORDS = (
-    "a an and are as at be but by can could do does did for from how i in is it me my of on or please should so that the "
-    "their then this to try up we what when where why will with you your thanks thank"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "can", "could", "do", "does", "did", "for", "from", "how", "i", "in", "is", "it", "me",
+    "my", "of", "on", "or", "please", "should", "so", "that", "the", "their", "then", "this", "to", "try", "up", "we", "what", "when", "where", "why",
+    "will", "with", "you", "your", "thanks", "thank",
+)
 SYNONYMS = {"restart": "reset", "reboot": "reset", "powercycle": "reset", "power-cycle": "reset", "wifi": "wireless", "wi-fi": "wireless"}
 HEDGES = ("i think", "maybe", "not sure", "i don't know", "cannot be sure")
 BLAME = (

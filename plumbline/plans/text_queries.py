@@ -278,8 +278,7 @@ def _(spark, d):
 
 @query("funnel_missed", f"WITH {_L1} SELECT doc_id, pos FROM l1 WHERE length(sentence) % 10 = 0 AND NOT cleared")
 def _(spark, d):
-    rows = cleared(spark, d).select("doc_id", "pos", "sentence", "cleared")
-    return rows.where(F.length("sentence") % 10 == 0).join(rows.where("cleared"), ["doc_id", "pos"], "left_anti").select("doc_id", "pos")
+    return cleared(spark, d).where((F.length("sentence") % 10 == 0) & ~F.col("cleared")).select("doc_id", "pos")
 
 
 @query("cascade", f"WITH {_L1} SELECT doc_id, pos, CASE WHEN cleared THEN 'L1' ELSE 'unresolved' END AS resolved_by FROM l1")
@@ -335,17 +334,19 @@ def _(spark, d):
     return ranked(spark, d).where("similarity >= 0.2").select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("retrieval_quality", f"WITH {_KNN}, b AS (SELECT qid, min(CASE WHEN ql = l THEN rank END) AS first FROM r WHERE rank <= 10 GROUP BY qid) SELECT count(*) AS queries, (count(*) FILTER (first <= 1))::DOUBLE / count(*)::DOUBLE AS recall_1, (count(*) FILTER (first <= 3))::DOUBLE / count(*)::DOUBLE AS recall_3, count(first)::DOUBLE / count(*)::DOUBLE AS hit_rate FROM b")
+@query("retrieval_quality", f"WITH {_KNN}, b AS (SELECT qid, min(CASE WHEN ql = l THEN rank END) AS first FROM r WHERE rank <= 10 GROUP BY qid) SELECT count(*) AS queries, (count(*) FILTER (first <= 1))::DOUBLE / count(*)::DOUBLE AS recall_1, (count(*) FILTER (first <= 3))::DOUBLE / count(*)::DOUBLE AS recall_3, count(first)::DOUBLE / count(*)::DOUBLE AS hit_rate, round(sum(coalesce(1::DOUBLE / first, 0)) / count(*)::DOUBLE, 9) AS mrr FROM b")
 def _(spark, d):
     e = table(spark, d, "embeddings")
     top = ranked(spark, d, 10).join(F.broadcast(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"))), "qid").join(e.select(F.col("vec_id").alias("id"), "label"), "id")
-    return ranking.retrieval_quality(top, F.col("ql") == F.col("label")).drop("mrr")
+    return ranking.retrieval_quality(top, F.col("ql") == F.col("label")).withColumn("mrr", F.round("mrr", 9))
 
 
-_BM = """dt AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), qt AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark),
+_BM = """dt AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), qt AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark),
   st AS (SELECT count(*) AS n, avg(len(t)::DOUBLE) AS mean FROM dt), tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM dt) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-  sc AS (SELECT qid, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM (SELECT qid, unnest(t) AS term FROM qt) JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
-  bm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)"""
+  w0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st), w AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM w0) ELSE idf END AS idf FROM w0),
+  qw AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(t) AS term FROM qt) GROUP BY 1, 2),
+  sc AS (SELECT qid, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM qw JOIN tf USING (term) JOIN w USING (term), st GROUP BY 1, 2),
+  bm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc WHERE score > 0)"""
 
 
 def lexical(spark, d, k=5):
@@ -360,10 +361,9 @@ def _(spark, d):
 
 @query("hybrid_retrieval", f"WITH {_BM}, f AS (SELECT qid, id FROM bm WHERE rank <= 5), s AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), j AS (SELECT coalesce(f.qid, s.qid) AS qid, coalesce(f.id, s.id) AS id, CASE WHEN f.id IS NULL THEN 0 ELSE 0.6 END + CASE WHEN s.id IS NULL THEN 0 ELSE 0.4 END AS score FROM f FULL JOIN s ON f.qid = s.qid AND f.id = s.id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM j) SELECT qid, id, rank FROM r WHERE rank <= 3")
 def _(spark, d):
-    passages = F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))
+    passages = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    holding = docs.join(passages, F.col("text").contains(F.col("passage"))).select("qid", "id")
-    out = ranking.hybrid(lexical(spark, d), holding, 0.6, 3)
+    out = ranking.hybrid(lexical(spark, d), ranking.holding(docs, passages), 0.6, 3)
     return out.select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
