@@ -66,6 +66,10 @@ class Tables:
                 where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
                 self.names[id(table)] = table, None
 
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        """Deletes all tables of this set but those."""
+        self.drop(*[table for table, path in list(self.names.values()) if path and not any(table is k for k in kept)])
+
 
 class WordCache(dict):
     """A dictionary from word to ``make(word)`` that holds at most twice ``limit`` words.

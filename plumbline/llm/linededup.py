@@ -1,87 +1,161 @@
 """Operator 5: line deduplication by a segment-partition edit join.
 
-Lines within ``edits`` edits of one another share, unchanged and at nearly the same place,
-at least one of ``edits + 1`` segments into which the shorter is cut. So every distinct line
-is indexed by its segments' hashes, with its length and the segment's number, and probes
-the index, for each length it may be near to, with just those of its substrings that a
-segment could have moved to (multi-match-aware selection). Counts of frequent letters travel
-along, and pairs whose counts differ by more than the edits allow are dropped where they
-meet. What is left is verified by a bit-parallel automaton along the band of diagonals.
+A line is cut into ``edits + 1`` segments of one width, half of them measured from its start and
+half from its end. Of two lines within ``edits`` edits, either the segments at the start hold fewer
+edits than there are of them or those at the end do. So a segment is whole in both lines, the i-th of
+its half with at most i edits outside it, and stands at most i characters from its place. Every line
+is indexed by its segments' hashes and probes the index with the substrings where such a segment of
+a line as long or shorter may stand. Widths go by classes of lengths, so that few substrings do for
+all lengths, and a line just over a class's bound probes with the class below, too.
+
+The first pass shuffles hashes alone and finds the live substrings, those that several lines share.
+Only lines that have one are read again. The earliest line of a live substring is compared with all
+others, and lines that are near to it are settled: what they are near to is of no further interest.
+Then unsettled lines meet all earlier lines, by index and probe. A substring that many lines share, as
+templates have, is not joined but goes on: what a pair has beside the segment, allowed the edits
+that are left, is cut into segments in turn, until few lines share a key. Counts of frequent
+characters travel along, and pairs whose counts differ by more than the edits allow are dropped
+where they meet. What is left is verified by a bit-parallel automaton along the band of diagonals.
 
 Equal lines are one line from the start, found by hash aggregation with partial sums, so a
-line that stands in a third of all documents is one row for each task. The join shuffles hashes of
-distinct lines alone; texts are picked up for candidates. All of it is DataFrame operations.
+line that stands in a third of all documents is one row for each task. All of it is DataFrame
+operations, and a line or text of any length is one row.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.llm.common import cut
+from plumbline.llm.common import Tables
 
 #: (least length, edits) of a corpus: about one edit for 20 characters, and never more than five.
 EDITS = ((20, 1), (40, 2), (60, 3), (80, 4), (100, 5))
 
-#: Letters whose counts are compared, each modulo 256.
-LETTERS = "ehtaon"
-#: Most candidate lines that are broadcast to pick up their texts; beyond, they are joined by a shuffle.
+#: Characters whose counts are compared, each modulo 32; twelve to a long.
+LETTERS = "ehtaonisrlduc0123456789 "
+#: Most rows of hashes that are broadcast to pick up what belongs to them; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: The same for keys alone, of eight bytes each.
+BROADCAST_KEYS = 2_000_000
+#: Most rows that share a substring and are joined as they are; beyond, the rest of their lines is cut further, this often at most.
+HOT, ROUNDS = 64, 16
 
 
-def segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start, width) of each segment of a line of ``n`` characters; the last ones may be one wider."""
-    count = edits + 1
-    width = F.floor(n / count).cast("int")
-    wider = count - (n - width * count)  # the number of the first segment that is wider
-    return [(i * width + F.greatest(F.lit(0), i - wider), width + (wider <= i).cast("int")) for i in range(count)]
+def halves(edits: int) -> list[tuple[int, int]]:
+    """(side, number) of the segments: of ``edits + 1``, half from the start (0), fewer from the end (1)."""
+    return [(0, i) for i in range((edits + 2) // 2)] + [(1, i) for i in range((edits + 1) // 2)]
+
+
+def width(n: Column, edits: Column) -> Column:
+    """Width of the segments of a text of ``n`` characters, by its class: lengths with the same three leading bits."""
+    bits = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int") - 2)
+    least = F.call_function("shiftleft", F.call_function("shiftright", n, bits), bits)
+    return F.floor(least / (edits + 1)).cast("int")
+
+
+def _codes(edits: int, whole: bool) -> list[int]:
+    """Side, number and shift (8 for none) of the substrings to look at, each in one number."""
+    return [side * 256 + i * 16 + shift + 8 for side, i in halves(edits) for shift in ([0] if whole else range(-i, i + 1))] if edits else [-1]
+
+
+def _start(code: Column, n: Column, wide: Column) -> Column:
+    """Where a text of ``n`` characters has the substring of a code."""
+    i, shift = F.shiftright(code, 4).bitwiseAND(15), code.bitwiseAND(15) - 8
+    return F.when(code < 256, i * wide).otherwise(n - (i + 1) * wide) + shift
+
+
+def wide_text(text: Column) -> Column:
+    """A text in four bytes for each character, so that a substring is where it is without counting."""
+    return F.encode(text, "UTF-32")
+
+
+def _table(whole: bool) -> Column:
+    """By edits, what to look at: a code, and the factors of the text's length and the width whose sum, with a shift, is its place in bytes."""
+
+    def row(edits: int, code: int) -> Column:
+        i, shift, right = (code >> 4) & 15, (code & 15) - 8, code >= 256
+        place = (int(right), -(i + 1) if right else i, 4 * shift + 1) if code >= 0 else (0, 0, 0)
+        return F.struct(F.lit(code).alias("code"), F.lit(edits * 512 + (code >> 4)).alias("seed"), *[F.lit(x).alias(c) for c, x in zip("rms", place, strict=True)])
+
+    return F.array(*[F.array(*[row(e, c) for c in _codes(e, whole)]) for e in range(6)])
+
+
+def segment_key(x: Column, data: Column, n: Column, edits: Column, wide: Column, under: Column) -> Column:
+    """The hash of the segment, or of the substring that may be one, that a row ``x`` of the table means.
+
+    ``data`` is the :func:`wide_text`. Texts too short for segments all have the one key of such, and those that
+    allow no edits are one segment. A substring that would not be inside gives a key of no meaning, which
+    costs a comparison at most.
+    """
+    part = F.substring(data, x["r"] * 4 * n + x["m"] * 4 * wide + x["s"], 4 * wide)
+    alone = F.when(edits == 0, F.xxhash64(under, F.lit(-2), data)).otherwise(F.xxhash64(under, -3 - edits))
+    return F.when(x["code"] < 0, alone).otherwise(F.xxhash64(under, x["seed"], part))
+
+
+def _rows(edits: Column, wide: Column, whole: bool = False) -> Column:
+    """The table's rows for a text."""
+    table = _table(whole)
+    return F.when(wide == 0, F.get(table, F.lit(0))).otherwise(F.get(table, edits))
+
+
+def _keys(line: Column, edits: int, d: int, whole: bool) -> list[Column]:
+    n, e = F.length(line), F.lit(edits)
+    wide, data = width(n - d, e), wide_text(line)
+    found = F.transform(_rows(e, wide, whole), lambda x: segment_key(x, data, n, e, wide, F.lit(0).cast("long")))
+    return [F.get(found, i) for i in range(len(_codes(edits, whole)))]
 
 
 def index_keys(line: Column, edits: int) -> list[Column]:
     """Hashes of a line's segments."""
-    n = F.length(line)
-    return [F.xxhash64(F.lit(i), n, F.substring(line, start + 1, width)) for i, (start, width) in enumerate(segments(n, edits))]
+    return _keys(line, edits, 0, True)
 
 
 def probe_keys(line: Column, edits: int) -> list[Column]:
-    """Hashes of the substrings that could be a segment of a line as long or up to ``edits`` shorter; null where none is."""
-    n, keys = F.length(line), []
-    for shorter in range(edits + 1):
-        for i, (start, width) in enumerate(segments(n - shorter, edits)):
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                inside = (start + shift >= 0) & (start + shift + width <= n)
-                keys.append(F.when(inside, F.xxhash64(F.lit(i), n - shorter, F.substring(line, start + shift + 1, width))))
-    return keys
+    """Hashes of the substrings that could be a segment of a line as long or up to ``edits`` shorter."""
+    return [key for d in range(edits + 1) for key in _keys(line, edits, d, False)]
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of eight bits each in one long."""
-    total = F.lit(0).cast("long")
-    for j, letter in enumerate(LETTERS):
-        count = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(255)
-        total = total.bitwiseOR(F.shiftleft(count.cast("long"), 8 * j))
-    return total
+    """Counts of five bits each, twelve to each long of an array."""
+    longs = []
+    for at in range(0, len(LETTERS), 12):
+        total = F.lit(0).cast("long")
+        for j, letter in enumerate(LETTERS[at : at + 12]):
+            count = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(31)
+            total = total.bitwiseOR(F.shiftleft(count.cast("long"), 5 * j))
+        longs.append(total)
+    return F.array(*longs)
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """Least sum of differences between counts that two longs stand for; an edit changes it by two at most."""
+    """Least sum of differences between counts that two arrays stand for; an edit changes it by two at most."""
     total = F.lit(0)
     for j in range(len(LETTERS)):
-        d = F.abs(F.shiftrightunsigned(a, 8 * j).bitwiseAND(255) - F.shiftrightunsigned(b, 8 * j).bitwiseAND(255)).cast("int")
-        total = total + F.least(d, 256 - d)
+        count = lambda x: F.shiftrightunsigned(F.get(x, j // 12), 5 * (j % 12)).bitwiseAND(31)  # noqa: E731, B023
+        d = F.abs(count(a) - count(b)).cast("int")
+        total = total + F.least(d, 32 - d)
     return total
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether ``b`` is at most ``edits`` edits from ``a``, by a bit-parallel automaton.
+def _shared(a: Column, b: Column) -> Column:
+    """How many characters two texts begin with alike, by halving."""
+    most = F.least(F.length(a), F.length(b))
+    same = lambda at, n: F.substring(a, at + 1, n) == F.substring(b, at + 1, n)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), lambda at, n: F.when((n <= most - at) & same(at, n), at + n).otherwise(at))
+
+
+def _state(a: Column, b: Column, edits: int) -> Column:
+    """The automaton's state when it has read all of ``a`` against ``b``; 0 if no end of ``b`` can be near any more.
 
     Bits stand for the diagonals of the band, ``2 * e + 1`` for each number ``e`` of errors, as
     more are out of reach, side by side in a long. A character of ``a`` moves them all at once: a match
     keeps a diagonal, and one error more allows a substitution (the same diagonal), a
-    deletion (one lower) or an insertion (one higher). ``edits`` is at most 5.
+    deletion (one lower) or an insertion (one higher).
     """
     width = 2 * edits + 1
     band = (1 << width) - 1
@@ -96,8 +170,7 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
         return F.transform(pair["a"], mask)
 
-    # let: the arrays of characters are made once
-    masks = F.get(F.transform(F.array(F.struct(chars(a).alias("a"), chars(b).alias("b"))), matches), 0)
+    masks = T.let(F.struct(chars(a).alias("a"), chars(b).alias("b")), matches)
     start = sum(((1 << (e + 1)) - 1) << (e + e * e) for e in range(edits + 1))
 
     def step(state: Column, mask: Column) -> Column:
@@ -111,22 +184,41 @@ def within(a: Column, b: Column, edits: int) -> Column:
             below_old, below_new = old, new
         return levels
 
-    end = F.aggregate(masks, F.lit(start).cast("long"), step)
-    last = F.length(b) - F.length(a) + edits
-    bit = F.lit(edits * edits) + last
-    return F.when(F.abs(F.length(b) - F.length(a)) <= edits, F.call_function("shiftrightunsigned", end, bit.cast("int")).bitwiseAND(1) == 1).otherwise(False)
+    return F.aggregate(masks, F.lit(start).cast("long"), step)
 
 
-def _lines(base: DataFrame, least: int) -> DataFrame:
-    """(d, t, pos, again, line, h, g): all lines of at least ``least`` characters, trimmed and in lower case.
+#: Characters after which a longer text is given up if no diagonal is left.
+FIRST = 32
+
 
-    ``again`` marks lines that stood before in their own document; h and g are 128 bits of hashes.
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether ``b`` is at most ``edits`` edits from ``a``, by a bit-parallel automaton along the band of diagonals.
+
+    What both begin or end with alike changes no distance and is left off; what is left of a long text is
+    read as far as ``FIRST`` before the whole is. ``edits`` is at most 5.
     """
-    keys = F.transform(F.split("text", "\n", -1), lambda raw: F.lower(F.trim(raw, F.lit(" \t\r"))))
-    marked = lambda found: F.transform(found, lambda k, i: F.struct(k.alias("line"), (F.array_position(found, k) <= i).alias("again")))
-    # let: the array is made once
-    marked = F.get(F.transform(F.array(keys), marked), 0)
-    rows = base.select("d", "t", F.posexplode(marked).alias("pos", "x")).select("d", "t", "pos", "x.*").where(F.length("line") >= least)
+
+    def judged(m: Column) -> Column:
+        x, y = m["x"], m["y"]
+        longer = F.length(y) - F.length(x)
+        bit = F.lit(edits * edits) + longer + edits
+        near = F.call_function("shiftrightunsigned", _state(x, y, edits), bit.cast("int")).bitwiseAND(1) == 1
+        dead = _state(F.substring(x, 1, FIRST), F.substring(y, 1, FIRST + edits), edits) == 0
+        hopeless = F.when((F.length(x) > 2 * FIRST) & (F.length(y) > 2 * FIRST), dead).otherwise(False)
+        return F.when(F.abs(longer) > edits, False).when(F.greatest(F.length(x), F.length(y)) <= edits, True).when(hopeless, False).otherwise(near)
+
+    def ends(m: Column) -> Column:
+        cut = lambda n: F.struct(F.substring(m["x"], F.lit(1), F.length(m["x"]) - n).alias("x"), F.substring(m["y"], F.lit(1), F.length(m["y"]) - n).alias("y"))
+        return T.let(_shared(F.reverse(m["x"]), F.reverse(m["y"])), lambda n: T.let(cut(n), judged))
+
+    begins = lambda n: F.struct(F.substring(a, n + 1, F.length(a)).alias("x"), F.substring(b, n + 1, F.length(b)).alias("y"))
+    return T.let(_shared(a, b), lambda n: T.let(begins(n), ends))
+
+
+def _lines(base: DataFrame, least: int) -> DataFrame:
+    """(d, t, pos, line, h, g): all lines of at least ``least`` characters, trimmed and in lower case; h and g are 128 bits of hashes."""
+    lines = F.transform(F.split("text", "\n", -1), lambda raw: F.lower(F.trim(raw, F.lit(" \t\r"))))
+    rows = base.select("d", "t", F.posexplode(lines).alias("pos", "line")).where(F.length("line") >= least)
     return rows.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit("g"), "line"))
 
 
@@ -147,74 +239,139 @@ def allowed_edits(n: Column, steps: list[tuple[int, int]]) -> Column:
     return allowed
 
 
-def _segment(line: Column, n: Column, edits: Column, i: Column, shift: Column) -> Column:
-    """Hash of the substring where segment ``i`` of a line of ``n`` characters would be, ``shift`` characters on; null outside."""
-    width = F.floor(n / (edits + 1)).cast("int")
-    wider = edits + 1 - n % (edits + 1)
-    start = i * width + F.greatest(F.lit(0), i - wider) + shift
-    width = width + (wider <= i).cast("int")
-    return F.when((start >= 0) & (start + width <= F.length(line)), F.xxhash64(edits, i, F.substring(line, start + 1, width)))
+def _few(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df``, broadcast if it has few enough rows, which are counted."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
-def stepped_keys(line: Column, n: Column, steps: list[tuple[int, int]]) -> tuple[Column, Column]:
-    """(index, probes): :func:`index_keys` and :func:`probe_keys` where lines allow edits by their length ``n``.
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` (data, n, e, wide, own, under, ...) by entry: key and code in place of data; index rows are the segments of the own class.
 
-    The hash has the shorter line's edits in place of its length, so substrings that several lengths
-    ask for are one key. The places to look at are a table by edits, not an expression for each.
+    The table is exploded, not the keys, so that keys are made in compiled code.
     """
-    most = steps[-1][1]
-    index = T.let(allowed_edits(n, steps), lambda e: F.transform(F.sequence(F.lit(0), e), lambda i: _segment(line, n, e, i, F.lit(0))))
+    key = segment_key(F.col("x"), F.col("data"), F.col("n"), F.col("e"), F.col("wide"), F.col("under"))
+    index = F.col("own") & ((F.col("x.code") < 0) | (F.col("x.code").bitwiseAND(15) == 8))
+    rest = [c for c in rows.columns if c not in ("data", "own", "under")]
+    return rows.withColumn("x", F.explode(_rows(F.col("e"), F.col("wide")))).select(*rest, key.alias("key"), "x.code", index.alias("own"))
+
 
-    def probes(shorter: int) -> Column:
-        moves = lambda e: [i * 16 + shift + 8 for i in range(e + 1) for shift in range(max(-i, shorter - (e - i)), min(i, shorter + (e - i)) + 1)] if shorter <= e else []
-        table = F.array(*[F.array(*map(F.lit, moves(e))).cast("array<int>") for e in range(most + 1)])
-        found = lambda e: F.transform(F.get(table, e), lambda x: _segment(line, n - shorter, e, F.shiftright(x, 4), x.bitwiseAND(15) - 8))
-        return T.let(allowed_edits(n - shorter, steps), found)
+def _classes(n: Column, edits, shorter: Sequence[int]) -> Column:
+    """Distinct (e, wide, own) of texts that are ``shorter`` by these many characters and still may be near; own is this text's."""
+    found, kind = [], lambda d: F.struct(edits(n - d).alias("e"), width(n - d, edits(n - d)).alias("wide"))
+    for d in sorted(shorter, key=abs):
+        found.append(F.when((n - d >= 0) & (edits(n - d) >= abs(d)), kind(d)))
+    kinds = F.array_distinct(F.array_compact(F.array(*found)))
+    marked = F.transform(kinds, lambda x, i: F.struct(x["e"].alias("e"), x["wide"].alias("wide"), (i == 0).alias("own")))
+    # Classes rise with the length, so where both ends are of one class, all are, as of nearly all texts.
+    one = F.array(F.struct(edits(n).alias("e"), width(n, edits(n)).alias("wide"), F.lit(True).alias("own")))
+    return F.when((kind(min(shorter)) == kind(0)) & (kind(max(shorter)) == kind(0)), one).otherwise(marked)
 
-    return index, F.array_distinct(F.array_compact(F.concat(*map(probes, range(most + 1)))))
 
+def line_keys(lines: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """Entries of whole lines (h, line): h, key, code, e, wide, n, own."""
+    rows = lines.select("h", "line", F.length("line").alias("n"))
+    rows = rows.select("h", "line", "n", F.explode(_classes(F.col("n"), lambda n: allowed_edits(n, steps), range(steps[-1][1] + 1))).alias("x"))
+    return _keyed(rows.select("h", wide_text(F.col("line")).alias("data"), "n", F.lit(0).cast("long").alias("under"), "x.*"))
 
-def distinct_lines(rows: DataFrame) -> DataFrame:
-    """(h, g, first, n, line, size, counts) of distinct lines, checkpointed.
 
-    ``first`` is the first place and ``n`` the number of documents. A line's text is moved once
-    for each task that has it.
+def _deeper(hot: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+    """Entries of what rows (key, code, h, e, wide, at, n, own) have beside the substring that they share, below its key.
+
+    A segment's number is the number of edits outside its half's end, so those on the other side are fewer by it.
     """
-    found = rows.where("not again").groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
-    return cut(found.select("h", "g", "first", "n", "line", F.length("line").alias("size"), letter_counts(F.col("line")).alias("counts")))
-
-
-def candidates(distinct: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """(a, b): hashes h of distinct lines that share a segment, whose lengths and letter counts are alike; ``a`` is no longer than ``b``."""
-    index_key, probe_key = stepped_keys(F.col("line"), F.col("size"), steps)
-    index = distinct.select(F.col("h").alias("a"), F.col("size").alias("size_a"), F.col("counts").alias("counts_a"), F.explode(index_key).alias("key"))
-    probes = distinct.select(F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("counts").alias("counts_b"), F.explode(probe_key).alias("key"))
-    most, longer = allowed_edits(F.col("size_a"), steps), F.col("size_b") - F.col("size_a")
-    alike = (F.col("a") != F.col("b")) & (longer >= 0) & (longer <= most) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * most)
-    return index.join(probes, "key").where(alike).select("a", "b").distinct()
-
-
-def near_lines(distinct: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """(h, g) of distinct lines that are within the shorter's edits of one whose first place is before theirs."""
-    pairs = cut(candidates(distinct, steps))
-    wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = cut(distinct.join(F.broadcast(wanted) if small else wanted, "h").select("h", "g", "first", "line", "size"))
-    side = lambda name: texts.select(F.col("h").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("g", "first", "line", "size")])
-    pairs, close = pairs.join(side("a"), "a").join(side("b"), "b"), F.lit(False)
+    start, i = _start(F.col("code"), F.col("n"), F.col("wide")), F.shiftright(F.col("code"), 4).bitwiseAND(15)
+    left = F.col("code") < 256
+    at = F.when(left, F.col("at") + start + F.col("wide")).otherwise(F.col("at"))
+    n = F.when(left, F.col("n") - start - F.col("wide")).otherwise(start)
+    rest = hot.select("h", F.col("key").alias("under"), at.alias("at"), n.alias("n"), (F.col("e") - i).alias("e"), F.col("own").alias("index")).distinct()
+    rest = rest.join(texts.select("h", "line"), "h").withColumn("data", wide_text(F.substring(F.col("line"), F.col("at") + 1, F.col("n")))).drop("line")
+    by_edits = F.array(*[_classes(F.col("n"), lambda _, e=e: F.lit(e), range(-e, e + 1)) for e in range(6)])
+    rows = rest.withColumn("x", F.explode(F.get(by_edits, F.col("e")))).withColumn("wide", F.col("x.wide")).withColumn("own", F.col("x.own") & F.col("index")).drop("x", "index")
+    return tables.put(_keyed(rows))
+
+
+def _alike(steps: list[tuple[int, int]]) -> Column:
+    """Whether lengths and counts of lines a and b leave open that they are near, and neither is the other."""
     allowed = allowed_edits(F.least("size_a", "size_b"), steps)
-    for edits in sorted({e for _, e in steps}):
-        close = F.when(allowed == edits, within(F.col("line_a"), F.col("line_b"), edits)).otherwise(close)
-    pairs = pairs.where(close)
-    later = F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("a").alias("h"), F.col("g_a").alias("g"))).otherwise(F.struct(F.col("b").alias("h"), F.col("g_b").alias("g")))
-    return pairs.select(later.alias("l")).select("l.*").distinct()
+    apart = counts_apart(F.col("counts_a"), F.col("counts_b"))
+    return (F.col("h_a") != F.col("h_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= allowed) & (apart <= 2 * allowed)
+
+
+def _side(rows: DataFrame, name: str, *others: str) -> DataFrame:
+    return rows.select(*others, *[F.col(c).alias(f"{c}_{name}") for c in rows.columns if c not in others])
 
 
-def dedup_lines(docs: DataFrame, *, edits: int | Sequence[tuple[int, int]] = 1, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """(h, g) of the later lines of the pairs (h_a, h_b) of hashes that are within the shorter's edits."""
+    lines, close = texts.select("h", "g", "first", "line"), F.lit(False)
+    met = pairs.join(_side(lines, "a"), "h_a").join(_side(lines, "b"), "h_b")
+    allowed = allowed_edits(F.least(F.length("line_a"), F.length("line_b")), steps)
+    for edits in sorted({e for _, e in steps}):
+        close = F.when(allowed == edits, within(F.col("line_a"), F.col("line_b"), edits)).otherwise(close)
+    later = F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("h_a").alias("h"), F.col("g_a").alias("g"))).otherwise(F.struct(F.col("h_b").alias("h"), F.col("g_b").alias("g")))
+    return met.where(close).select(later.alias("l")).select("l.*").distinct()
+
+
+def near_lines(first: DataFrame, steps: list[tuple[int, int]], tables: Tables) -> DataFrame:
+    """(h, g) of lines that are within the shorter's edits of one whose first place is before theirs."""
+    by_key = line_keys(first.select("h", "line"), steps).groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"))
+    live = tables.put(by_key.where("least <> most").select("key"))
+    holders = first.select("h", "line")
+    if live.count() > BROADCAST_KEYS:
+        # What is shuffled to meet the live keys is hashes; lines that have one are few, and their entries are made again.
+        hashes = line_keys(holders, steps).select("key", "h").join(live, "key", "left_semi").select("h").distinct()
+        holders = holders.join(_few(tables.put(hashes)), "h")
+    found = line_keys(holders, steps).join(_few(live, BROADCAST_KEYS), "key").distinct()
+    found = tables.put(found.withColumn("at", F.lit(0)))
+    known = tables.put(found.select("h").distinct())
+    texts = first.join(_few(known), "h").groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.first("line").alias("line"))
+    texts = tables.put(texts.select("h", "g", "first", "line", letter_counts(F.col("line")).alias("counts")))
+    marks = texts.select("h", "first", F.length("line").alias("size"), "counts")
+    lines = tables.put(found.select("key", "h").distinct().join(_few(marks), "h"))
+    earliest = F.min(F.struct("first", "h", "size", "counts")).alias("p")
+    pivots = tables.put(lines.groupBy("key").agg(earliest, F.count(F.lit(1)).alias("lines")))
+    pairs = _side(lines, "b", "key").join(_side(pivots.select("key", "p.*"), "a", "key"), "key")
+    pairs = tables.put(pairs.where(_alike(steps)).select("h_a", "h_b").distinct())
+    settled = tables.put(_verified(pairs, texts, steps))
+    # What is left: substrings of three lines and more, of which one that is not the earliest is unsettled.
+    marks = texts.select("h", "g", "first", F.length("line").alias("size"), "counts").join(_few(settled.withColumn("settled", F.lit(True))), ["h", "g"], "left")
+    marks = tables.put(marks.select("h", "first", "size", "counts", F.col("settled").isNull().alias("open")))
+    state = found.join(_few(pivots.where("lines > 2").select("key", F.col("p.h").alias("p"))), "key").join(_few(marks.select("h", "open")), "h")
+    state = tables.put(state)
+    unsettled = state.where("open and h <> p").select("key").distinct()
+    state = tables.put(state.drop("p", "open").join(_few(tables.put(unsettled)), "key"))
+    more = []
+    for round_ in range(ROUNDS + 1):
+        hot = F.col("lines") > (HOT if round_ < ROUNDS else 2**62)
+        sizes = state.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.count_if("own").alias("index"))
+        sizes = tables.put(sizes.where("lines > 1 and index > 0").select("key", hot.alias("hot")))
+        here = tables.put(state.join(_few(sizes), "key"))
+        # An entry without a code is a whole text, or one too short to be cut.
+        meet = here.where("not hot or code < 0").select("key", "h", "own").join(_few(marks), "h")
+        both = _side(meet.where("own").drop("own"), "a", "key").join(_side(meet.drop("own"), "b", "key"), "key")
+        order = (F.col("size_a") <= F.col("size_b")) & F.when(F.col("first_a") > F.col("first_b"), F.col("open_a")).otherwise(F.col("open_b"))
+        more.append(tables.put(both.where(order & _alike(steps)).select("h_a", "h_b").distinct()))
+        go_on = here.where("hot and code >= 0")
+        if go_on.isEmpty():
+            break
+        state = _deeper(go_on, texts, tables)
+    return tables.put(settled.union(_verified(functools.reduce(DataFrame.union, more).distinct(), texts, steps)).distinct())
+
+
+def dedup_lines(
+    docs: DataFrame,
+    *,
+    edits: int | Sequence[tuple[int, int]] = 1,
+    least: int = 20,
+    exact_least: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """``docs`` without lines that stood before, or stood before within ``edits`` edits.
 
-    Lines are compared without white space at their ends and in lower case; shorter ones
-    than ``least`` characters always stay. A line goes if an equal one stands before it in
+    Lines are compared without white space at their ends and in lower case. Lines of at least
+    ``exact_least`` characters (as ``least`` if not given; blank lines always stay) are compared as a
+    whole, and those of at least ``least`` by edits, too. A line goes if an equal one stands before it in
     its document or in one of a smaller doc_id (null is smallest), or if its first place comes
     after that of another line within ``edits`` edits, whether or not that one goes itself;
     places are in the order of doc_id, a hash of the text, and position. Rows that share a
@@ -224,27 +381,34 @@ def dedup_lines(docs: DataFrame, *, edits: int | Sequence[tuple[int, int]] = 1,
 
     Returns all columns of ``docs``, ``text_col`` with the lines that stay, and before them
     a struct ``lines`` of longs: total, repeated, near, kept (it replaces a column of that name). Null texts stay null (0
-    lines); if all lines go the text is empty; an empty table gives no rows.
+    lines); if all lines go the text is empty; an empty table gives no rows. Texts and lines may be of any length.
     """
-    steps = steps_of(edits)
+    steps, tables = steps_of(edits), Tables(docs.sparkSession)
+    exact_least = max(1, least if exact_least is None else exact_least)
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     base = docs.select(d.alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("text is not null")
-    rows = _lines(base, least)
-    distinct = distinct_lines(rows)
-    near = near_lines(distinct, steps).withColumn("near", F.lit(True))
-    # Lines of which something goes.
-    known = distinct.select("h", "g", F.col("first.d").alias("first_d"), "n").join(near, ["h", "g"], "left").where("n > 1 or near").select("h", "g", "first_d", F.coalesce("near", F.lit(False)).alias("near"))
-    places = rows.select("h", "g", "d", "t", "pos", "again").join(known, ["h", "g"], "left")
-    repeated = F.col("again") | F.coalesce(F.col("d") != F.col("first_d"), F.lit(False))
-    gone = places.withColumn("repeated", repeated).where(F.col("repeated") | F.col("near"))
-    near_places = F.collect_list(F.when(~F.col("repeated"), F.col("pos")))
-    by_doc = gone.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("_gone"), F.array_distinct(near_places).alias("_near"))
+    # Lines are cut out of texts once; later passes read what they need of this table.
+    all_lines = tables.put(_lines(base, min(exact_least, max(1, least))).withColumn("n", F.length("line")))
+    near = near_lines(all_lines.where(F.col("n") >= least).drop("n"), steps, tables).withColumn("near", F.lit(True))
+    thin = all_lines.where(F.col("n") >= exact_least).select("d", "t", "pos", "h", "g")
+    # Lines of which something goes: those that stand in several places, and those near to an earlier one.
+    repeats = thin.groupBy("h", "g").agg(F.min("d").alias("first_d"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    known = tables.put(repeats.join(near, ["h", "g"], "full").select("h", "g", "first_d", F.coalesce("near", F.lit(False)).alias("near")))
+    in_doc = thin.join(_few(known), ["h", "g"]).groupBy("d", "t", "h", "g").agg(F.sort_array(F.collect_set("pos")).alias("places"), F.first("first_d").alias("first_d"), F.first("near").alias("near"))
+    # In the first document of a line, only its first place is no repetition; that one goes if it is near to an earlier line.
+    elsewhere = F.coalesce(F.col("d") != F.col("first_d"), F.lit(False))
+    goes = F.when(elsewhere | F.col("near"), F.col("places")).otherwise(F.slice("places", 2, F.size("places")))
+    in_doc = in_doc.select("d", "t", goes.alias("goes"), (F.col("near") & ~elsewhere).cast("long").alias("near")).where(F.size("goes") > 0)
+    by_doc = in_doc.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.flatten(F.collect_list("goes")).alias("_gone"), F.sum("near").alias("_near"))
+    by_doc = tables.put(by_doc)
+    tables.drop_all_but(by_doc)
     # The row as a struct, so that no column of it can clash with those here.
     whole = docs.select(F.struct(*docs.columns).alias("_row"), d.alias("_d"), F.xxhash64(text_col).alias("_t")).join(by_doc, ["_d", "_t"], "left")
     text = F.col("_row")[text_col]
-    parts = F.split(text, "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n"))
-    size = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
-    total = F.when(text.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
-    lines = F.struct(total.alias("total"), (size("_gone") - size("_near")).alias("repeated"), size("_near").alias("near"), (total - size("_gone")).alias("kept"))
+    stay = lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(parts, i))
+    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(T.let(F.split(text, "\n", -1), stay), "\n"))
+    went, near_ones = F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), F.coalesce("_near", F.lit(0)).cast("long")
+    went = F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(went)
+    total = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    lines = F.struct(total.alias("total"), (went - near_ones).alias("repeated"), near_ones.alias("near"), (total - went).alias("kept"))
     return whole.select(lines.alias("lines"), *[(kept if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns if c != "lines"])

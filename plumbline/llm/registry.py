@@ -35,8 +35,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without lines that stood before, exactly or but for one edit, or up to five in lines of 100 characters."""
-    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), edits=linededup.EDITS)
+    """All documents without lines that stood before, exactly at any length, or but for one edit, or up to five in lines of 100 characters."""
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), edits=linededup.EDITS, exact_least=1)
     return kept.select("doc_id", "lines.*", "text")
 
 
