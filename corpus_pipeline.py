@@ -19,23 +19,23 @@ from plumbline.llm.common import shared_folder, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: without the documents that a machine fitted on the labels calls toxic."""
+    """Operator 2: without the documents that a machine fitted on the labels calls toxic; null and empty texts are scored as such, and no row of an empty table stays."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: without lines that stood before; a document that loses all its lines stays, empty."""
-    kept = linededup.dedup_lines(docs, edits=1).drop("lines")
+    """Operator 5: without lines that stood before; a document that loses all its lines stays, empty, and a null text stays null."""
+    kept = linededup.dedup_lines(docs, edits=1, exact_least=1).drop("lines")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: one document of each group whose five-word shingles are 80 % alike."""
+    """Operator 7: one document of each group whose five-word shingles are 80 % alike; null, empty and blank texts are alike to none, and rows without an id stay."""
     return neardup.without_near_duplicates(docs, words=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: sources mixed 3:1:2, to one and a half times their words in all, none over twice its own."""
+    """Operator 8: sources mixed 3:1:2, to one and a half times their words in all, none over twice its own; null and empty texts have no words and are not taken."""
     return mixing.mixed_documents(docs)
 
 
