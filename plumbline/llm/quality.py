@@ -126,6 +126,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_co
     return fit_classifier(rows[order], train["label"].to_numpy(np.float64)[order])
 
 
+def site(url: Column) -> tuple[Column, Column]:
+    """(host, path) of addresses: the host in lower case without "www.", and the first part of the path, empty where there is none.
+
+    An address that is none, or null, has no host.
+    """
+    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    path = F.split_part(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"), F.lit(2))
+    return host, F.when(host.isNotNull(), path)
+
+
 def strength(groups: DataFrame, share: Column, n: Column, whole: Column) -> Column:
     """Pseudo-documents of the prior over groups, an aggregate: from 1 to 1000.
 

@@ -83,3 +83,14 @@ def test_each_stage_does_its_work_on_what_the_one_before_kept(spark, folder, tmp
 def test_run(spark, folder):
     rows = pipeline.run(spark, folder)
     assert rows.count() > 0 and "sequence_id" in rows.columns
+    fill = Counter()
+    for p in rows.collect():
+        fill[p.sequence_id] += p.length
+    assert all(n == 2048 or n & (n - 1) == 0 for n in fill.values())
+
+
+def test_stages_on_an_empty_table(spark, folder):
+    empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, empty, folder)
+        assert out.count() == 0 and (name == pipeline.STAGES[-1][0] or out.columns == empty.columns), name

@@ -73,3 +73,25 @@ def test_edges(spark):
     assert all(r.score == 0 and not r.keep for r in rows if r.doc_id in (1, 2, 3))
     for empty in (df.limit(0), df.where("doc_id <= 3")):
         assert q.score(empty, classifier, F.col("source"), F.col("lang")).count() == empty.count()
+
+
+def test_sites_of_addresses(spark):
+    rows = ["http://WWW.a.example.com/fr/825?page=2", "https://m.b.example.net:8080/en/25#top", "http://c.org", "no address", None, "http://d.org/"]
+    host, path = q.site(F.col("u"))
+    got = [tuple(r) for r in spark.createDataFrame([(u,) for u in rows], "u string").select(host, path).collect()]
+    assert got == [("a.example.com", "fr"), ("m.b.example.net", "en"), ("c.org", ""), (None, None), (None, None), ("d.org", "")]
+
+
+def test_paths_of_hosts_have_their_own_posteriors(spark):
+    """Scores by host and path of addresses: a good path of a host lifts its documents over those of a bad one."""
+    r = random.Random(3)
+    docs, labels = [], []
+    for i in range(400):
+        good = i % 2 == 0
+        words = " ".join("".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(40)) + "."
+        docs.append((i, words if good else "!!! $$$ 1 2 3 4 $$$ " * 5, f"http://h{i % 3}.org/{'good' if good else 'bad'}/{i}"))
+        labels.append((i, int(good)))
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string, url string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    out = q.score(df, q.fit(df, lab), *q.site(F.col("url"))).collect()
+    mean = lambda p: sum(x.path_posterior for x in out if x.path == p) / 200
+    assert {x.host for x in out} == {"h0.org", "h1.org", "h2.org"} and mean("good") > 0.8 > 0.2 > mean("bad")
