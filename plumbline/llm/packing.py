@@ -36,8 +36,10 @@ PIECES = (
 OTHER = re.compile("[\u0130\u0250-\U0010ffff]")
 #: Marks that end a word and make a part of their own; an apostrophe would not.
 ENDS = ".,!?;:#*%$&"
-#: A full stop or comma alone after a letter or digit is a part of its own, whatever stands before it.
+#: A full stop or comma alone after a letter or digit is a part of its own, whatever stands before it. Beyond Latin only
+#: after ASCII ones, as the tokenizer's normaliser makes a letter and a mark of some letters, and the mark takes the stop.
 STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|$)")
+ASCII_STOP = re.compile(r"(?<=[A-Za-z0-9])([.,])(?=[ \n]|$)")
 
 
 class ChunkEncoder:
@@ -64,7 +66,7 @@ class ChunkEncoder:
 
     def _encode(self, part: str) -> bytes:
         core = part.rstrip(ENDS)
-        if core != part and core.isalpha():
+        if core != part and core.isalpha() and not OTHER.search(core):
             return self.cache[core] + self.cache[part[len(core) :]]
         if part.isalpha() and part == part.lower() and not OTHER.search(part):
             shown = part.encode().decode("latin-1").translate(self.latin)
@@ -77,9 +79,10 @@ class ChunkEncoder:
         """The ids, four bytes each."""
         cache, text = self.cache, text or ""
         # Special tokens are matched on the raw text, so what may be one keeps its case.
-        if not OTHER.search(text) and "<|" not in text:
+        latin = not OTHER.search(text)
+        if latin and "<|" not in text:
             text = text.lower()
-        parts = STOP.sub(r" \1", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        parts = (STOP if latin else ASCII_STOP).sub(r" \1", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join([cache[p] for p in parts if p])
 
     def __call__(self, text: str | None) -> np.ndarray:

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from plumbline.llm.packing import ChunkEncoder, SumOfSquares, pack
+from plumbline.llm.packing import ENDS, ChunkEncoder, SumOfSquares, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, length string"
@@ -94,3 +94,22 @@ def test_special_tokens_in_capitals_are_words():
     encoder, plain = ChunkEncoder(PATH), Tokenizer.from_file(PATH)
     for text in ("<|ENDOFTEXT|>", "A Word <|EndOfText|> and MORE <|STARTOFTEXT|>.", "Plain <|endoftext|> TEXT"):
         assert encoder(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_every_code_point_beside_marks():
+    """Each code point after and before a letter, with every mark that the encoder cuts off, in texts of their own."""
+    encoder, plain = ChunkEncoder(PATH, words=1_000), Tokenizer.from_file(PATH)
+    points = [c for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}{m} {chr(c)}{m} X{chr(c)}b{m}" for c in points for m in (".", "!" if c % 2 else ",")]
+    texts += [f"A{chr(c)}{m}{m} {chr(c)}e{m}\n{m}{chr(c)}" for c in points[:0x3000] for m in ENDS]
+    wrong = []
+    for at in range(0, len(texts), 20_000):
+        found = plain.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)
+        wrong += [t for t, x in zip(texts[at : at + 20_000], found, strict=True) if encoder(t).tolist() != x.ids]
+    assert wrong == []
+
+
+def test_a_text_of_a_megabyte(spark):
+    text = "Some words of a very long text, é and क़. " * 25_000
+    rows = pack(spark.createDataFrame([(1, text, ""), (2, None, "")], SCHEMA), PATH).collect()
+    check(rows, [(1, text), (2, None)], 2048)
