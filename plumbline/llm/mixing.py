@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD
+from plumbline.llm.common import WORD, Tables
 
 
 def word_count(text: Column) -> Column:
@@ -115,7 +115,9 @@ def mix(
         seeded.alias("_order"),
         *([F.struct(*docs.columns).alias("row")] if carry else []),
     )
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    # Words are counted once: a table without texts serves all sums, and the mix itself unless texts come along.
+    thin = Tables(docs.sparkSession).put(rows.drop("row"))
+    sources = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     sources = sources.withColumn("source_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("source_rank") - 1) % len(weights) + 1).cast("int"))
     sources = capped_targets(sources.withColumn("weight", weight), share, cap)
@@ -123,9 +125,10 @@ def mix(
     sources = sources.withColumn("_seats", F.round(F.sum("target").over(everything) / block).cast("long"))
     sources = apportion(sources, "target", "_seats", [], ["source_rank"]).withColumnRenamed("quota", "_blocks")
     sources = sources.withColumn("_shards", F.ceil(F.col("_rows") / shard_rows).cast("long")).select("source", "source_size", "source_rank", "target", "_blocks", "_shards")
-    rows = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")), "left").drop(F.col("s.source"))
-    rows = rows.withColumn("shard", F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.col("_shards")))
-    shards = rows.groupBy("source_rank", "shard", "_blocks").agg(F.sum("size").alias("_size"))
+    shard = F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.col("_shards"))
+    placed = lambda r: r.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")), "left").drop(F.col("s.source")).withColumn("shard", shard)
+    rows = placed(rows if carry else thin)
+    shards = placed(thin).groupBy("source_rank", "shard", "_blocks").agg(F.sum("size").alias("_size"))
     shards = apportion(shards, "_size", "_blocks", ["source_rank"], ["shard"]).drop("_blocks")
     by = Window.partitionBy("source_rank", "shard").orderBy("_order", F.col("doc_id"), "_text", "size")
     before = F.coalesce(F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
