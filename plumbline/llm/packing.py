@@ -38,8 +38,20 @@ OTHER = re.compile("[\u0130\u0250-\U0010ffff]")
 ENDS = ".,!?;:#*%$&"
 #: A full stop or comma alone after a letter or digit is a part of its own, whatever stands before it. Beyond Latin only
 #: after ASCII ones, as the tokenizer's normaliser makes a letter and a mark of some letters, and the mark takes the stop.
-STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|$)")
-ASCII_STOP = re.compile(r"(?<=[A-Za-z0-9])([.,])(?=[ \n]|$)")
+#: What stands before is looked at last, as a search for two marks is quicker than one for a place.
+STOP = re.compile(r"[.,](?<=[^\W_][.,])(?=[ \n]|$)")
+ASCII_STOP = re.compile(r"[.,](?<=[A-Za-z0-9][.,])(?=[ \n]|$)")
+
+
+def _is_latin(text: str) -> bool:
+    """Whether no letter beyond Latin is there; most texts are of the 256 first code points, which is seen sooner."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not OTHER.search(text)
+    return True
 
 
 class ChunkEncoder:
@@ -79,10 +91,10 @@ class ChunkEncoder:
         """The ids, four bytes each."""
         cache, text = self.cache, text or ""
         # Special tokens are matched on the raw text, so what may be one keeps its case.
-        latin = not OTHER.search(text)
+        latin = _is_latin(text)
         if latin and "<|" not in text:
             text = text.lower()
-        parts = (STOP if latin else ASCII_STOP).sub(r" \1", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        parts = (STOP if latin else ASCII_STOP).sub(r" \g<0>", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join([cache[p] for p in parts if p])
 
     def __call__(self, text: str | None) -> np.ndarray:
