@@ -145,27 +145,27 @@ def test_templated_lines_do_not_meet_as_all_pairs(spark, monkeypatch):
     """Many lines with one common first half, or start and end; a few are near to one another."""
     r, rows = random.Random(4), []
     start, end = "This is the very common start of a line, and then ", " and this is its common end, which all have."
-    for i in range(1_500):
+    for i in range(500):
         own = "".join(r.choices("0123456789", k=50))
         rows.append(start + own + (end if i % 2 else ""))
     rows += [edited(r, x, 4) for x in rows[:20]]
     documents = [(i, x) for i, x in enumerate(rows)]
-    monkeypatch.setattr(ld, "HOT", 64)
+    monkeypatch.setattr(ld, "HOT", 32)
     seen, alike = [], ld._alike
     monkeypatch.setattr(ld, "_alike", lambda steps: seen.append(1) or alike(steps))
     out = ld.dedup_lines(spark.createDataFrame(documents, "doc_id long, text string").repartition(4), edits=ld.EDITS)
     gone = {x.doc_id for x in out.collect() if not x.text}
-    assert gone == set(range(1_500, 1_520)) and len(seen) > 2
+    assert gone == set(range(500, 520)) and len(seen) > 2
 
 
 def test_dense_and_short_and_long_lines(spark):
-    lines = [f"an entry of a long list that is number {i:03d} of its kind" for i in range(400)]
+    lines = [f"an entry of a long list that is number {i:03d} of its kind" for i in range(120)]
     documents = [(i, x + "\nok\n\n" + "}" * (i % 3)) for i, x in enumerate(lines)]
     long = " ".join(str(random.Random(5).random()) for _ in range(5)) + "é" * 1_100_000
     documents += [(900, long), (901, long[:500_000] + "x" + long[500_000:])]
     out = {x.doc_id: x for x in ld.dedup_lines(spark.createDataFrame(documents, "doc_id long, text string"), edits=ld.EDITS, exact_least=1).collect()}
     # two edits lead from each number to one before it
-    assert out[0].text == documents[0][1] and all(out[i].lines.near == 1 for i in range(1, 400))
+    assert out[0].text == documents[0][1] and all(out[i].lines.near == 1 for i in range(1, 120))
     # short lines go as equal ones alone, blank lines stay
     assert out[1].text == "\n}" and out[2].text == "\n}}" and out[4].text == "" and out[3].lines.total == 4
     assert out[900].text == long and out[901].text == ""
