@@ -33,17 +33,30 @@ def point(candidate: DataFrame, baseline: DataFrame, policy: DataFrame) -> DataF
 
 
 def correlate(alerts: DataFrame, events: DataFrame, hours: int, most: int) -> DataFrame:
-    """Of (alert_id, alert_ts) and (event_id, ts, type): the events within ``hours`` of each alert, nearest first.
+    """Of (alert_id, alert_ts) and (event_id, ts, type): the ``most`` events within ``hours`` of each alert, nearest first.
 
-    A range join by buckets as wide as the window: an alert meets three buckets by equality, so
-    there is no nested loop and events are not repeated. Adds seconds (signed) and rank.
+    Nearest are at most ``most`` events of each of at most ``most`` moments on either side, so an alert never meets its
+    whole window: moments that have events are numbered in the order of time, by counts up to a bucket and a
+    window inside it, and an alert's moment meets those numbers by equality. Adds micros (signed) and rank.
     """
-    width = hours * 3600
-    bucket = lambda c: F.floor(F.unix_timestamp(c) / width)
-    a = alerts.withColumn("_b", F.explode(F.array(*[bucket(F.col("alert_ts")) + i for i in (-1, 0, 1)])))
-    apart = (F.unix_micros("ts") - F.unix_micros("alert_ts")).cast("long")
-    near = a.join(events.withColumn("_b", bucket(F.col("ts"))), "_b").drop("_b").withColumn("micros", apart).where(F.abs("micros") <= width * 1_000_000)
-    w = Window.partitionBy("alert_id").orderBy(F.abs("micros"), "event_id")
+    width = hours * 3_600_000_000
+    few = events.withColumn("_at", F.unix_micros("ts")).where("_at is not null")
+    few = few.withColumn("_n", F.row_number().over(Window.partitionBy("_at").orderBy("event_id"))).where(F.col("_n") <= most).drop("_n")
+    asked = alerts.withColumn("_alert_at", F.unix_micros("alert_ts")).where("_alert_at is not null")
+    both = few.select("_at", F.lit(1).alias("_event"), F.lit(0).alias("_asks")).union(asked.select("_alert_at", F.lit(0), F.lit(1)))
+    times = both.groupBy("_at").agg(F.max("_event").alias("_event"), F.max("_asks").alias("_asks")).withColumn("_b", F.floor(F.col("_at") / max(1, width // 1440)))
+    before = times.groupBy("_b").agg(F.sum("_event").alias("_here"))
+    before = before.select("_b", (F.sum("_here").over(Window.orderBy("_b")) - F.col("_here")).alias("_before"))
+    number = F.col("_before") + F.sum("_event").over(Window.partitionBy("_b").orderBy("_at"))
+    times = times.join(before, "_b").withColumn("_number", number)
+    wanted = times.where("_asks = 1").select(F.col("_at").alias("_alert_at"), F.explode(F.sequence(F.col("_number") - (most - 1), F.col("_number") + most)).alias("_number"))
+    apart = F.col("_at") - F.col("_alert_at")
+    met = wanted.join(times.where("_event = 1").select("_number", "_at"), "_number").drop("_number").withColumn("micros", apart).where(F.abs("micros") <= width)
+    nearest = [F.abs("micros"), "event_id"]
+    found = met.join(few, "_at").drop("_at")
+    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("_alert_at").orderBy(*nearest))).where(F.col("_n") <= most).drop("_n")
+    w = Window.partitionBy("alert_id").orderBy(*nearest)
+    near = asked.join(found, "_alert_at").select(*alerts.columns, *events.columns, "micros")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 

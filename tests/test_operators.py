@@ -128,6 +128,28 @@ def test_drift_and_logs(spark):
     assert logs.queue_stats(spark.createDataFrame([("pending", "a", "a")], "state string, human string, judge string")).first().agreement is None
 
 
+def test_correlation_does_not_meet_whole_windows(spark):
+    """Many moments and many events at one moment: the same as by all pairs, and no join makes them."""
+    at = lambda i: (F.lit(1_704_067_200) + i).cast("timestamp")
+    events = spark.range(6000).select(F.col("id").alias("event_id"), at(F.when(F.col("id") % 3 == 0, 7000).otherwise(F.pmod(F.col("id") * 7919, 40_000))).alias("ts"))
+    alerts = spark.range(200).select((F.col("id") % 190).alias("alert_id"), at(F.col("id") * 250 % 45_000).alias("alert_ts"))
+    found = drift.correlate(alerts, events, 1, 4).localCheckpoint()
+    apart = (F.unix_micros("ts") - F.unix_micros("alert_ts")).alias("micros")
+    pairs = alerts.crossJoin(events).select("alert_id", "event_id", apart).where(F.abs("micros") <= 3_600_000_000)
+    assert values(found, "alert_id", "event_id", "micros", "rank") == values(ranking.top_k(pairs, ["alert_id"], [F.abs("micros"), F.col("event_id")], 4), "alert_id", "event_id", "micros", "rank")
+    assert found.count() > 700
+    df = drift.correlate(alerts, events, 1, 4)
+    df.collect()
+    node, made, todo = None, [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        node = node.finalPhysicalPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+        inner = node.plan() if "QueryStage" in node.nodeName() else None
+        todo += [inner] if inner else [node.children().apply(i) for i in range(node.children().size())]
+        made += [node.metrics().apply("numOutputRows").value()] if "Join" in node.nodeName() else []
+    assert made and max(made) <= 200 * 4 * 2 * 4
+
+
 def test_ranking(spark):
     rows = spark.range(200).select(F.col("id").cast("string").alias("k"))
     first = {r.k for r in ranking.stable_sample(rows, "k", 50, "s").collect()}
