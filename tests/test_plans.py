@@ -34,6 +34,13 @@ def test_range_joins_are_equi_joins(spark):
     assert "NestedLoop" not in text and re.search(r"SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin", text)
 
 
+@pytest.mark.parametrize("name", ["event_correlation", "drift_causation"])
+def test_alerts_meet_no_buckets_of_raw_events(spark, name):
+    """What an alert meets is numbered: no join has the time bucket as its only key between alerts and events."""
+    text = plan(spark, name).split("== Physical Plan ==")[1]
+    assert "_number" in text and "NestedLoop" not in text and "CartesianProduct" not in text
+
+
 def test_aggregates_are_partial_before_they_shuffle(spark):
     text = plan(spark, "capability_rollup").split("== Physical Plan ==")[1]
     assert text.count("partial_") >= 1
