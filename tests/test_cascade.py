@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import stats as S
 from plumbline.operators import cascade, engines, generators, grounding, properties, providers, ranking, rules, suite
 from plumbline.sources import governed
 from plumbline.streaming import bus
@@ -274,6 +275,25 @@ def test_blocks_of_queries_find_the_same(spark, monkeypatch):
     assert sorted(map(tuple, ranking.nearest(queries, corpus, 3).collect())) == once and len(once) == 36
 
 
+def test_nearest_is_the_product_with_odd_vectors(spark, monkeypatch):
+    """Ties, copies, repeated ids, nulls, zeros, sizes and values out of range, in tiles and shares, as by the cosine of all pairs."""
+    rows = [(i % 250, [float((i * 7 + j * 3) % 11 - 5) * (1 + i % 3) for j in range(4)]) for i in range(300)]
+    rows += [(300 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(40)] + [(400, None), (401, [0.0] * 4), (402, [1.0, None, 2.0, 3.0]), (403, [1.0, 2.0]), (404, []), (405, [1e-200] * 4)]
+    rows += [(406, [1e160, 1.0, 0.0, 0.0]), (407, [float("nan"), 1.0, 0.0, 0.0]), (408, [float("inf"), 1.0, 0.0, 0.0]), (410, None), (None, [1.0, 2.0, 3.0, 4.0])]
+    corpus = spark.createDataFrame(rows, "id int, v array<double>").repartition(3)
+    queries = corpus.select(F.col("id").alias("qid"), F.col("v").alias("qv")).where("qid % 5 = 0 or qid > 399")
+    scored = queries.crossJoin(corpus).where("id <> qid").select("qid", "id", S.cosine(F.col("qv"), F.col("v")).alias("similarity"))
+    for k, tile, size in ((1, (256, 8192), 1 << 25), (7, (8, 32), 2000)):
+        monkeypatch.setattr(ranking, "TILE", tile)
+        monkeypatch.setattr(ranking, "BYTES", size)
+        want = ranking.top_k(scored, ["qid"], [F.desc("similarity"), F.col("id")], k)
+        got = ranking.nearest(queries, corpus, k)
+        text = got._jdf.queryExecution().toString()
+        assert "NestedLoop" not in text and "CartesianProduct" not in text
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert ranking.nearest(queries, corpus.limit(0), 3).count() == ranking.nearest(queries.limit(0), corpus, 3).count() == 0
+
+
 def test_generated_cases_do_not_depend_on_order(spark):
     rows = spark.createDataFrame([(i, f"Question {i}", f"Answer {i}") for i in range(20)], "k int, q string, r string")
     a = sorted(map(str, generators.diagnostic_cases(rows, F.col("k"), "q", "r").collect()))
