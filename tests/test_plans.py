@@ -41,6 +41,12 @@ def test_alerts_meet_no_buckets_of_raw_events(spark, name):
     assert "_number" in text and "NestedLoop" not in text and "CartesianProduct" not in text
 
 
+@pytest.mark.parametrize("name", ["vector_topk", "retrieval_quality", "fabrication"])
+def test_vectors_do_not_meet_row_by_row(spark, name):
+    text = plan(spark, name).split("== Physical Plan ==")[1]
+    assert "FlatMapCoGroupsInArrow" in text and "NestedLoop" not in text and "CartesianProduct" not in text
+
+
 def test_aggregates_are_partial_before_they_shuffle(spark):
     text = plan(spark, "capability_rollup").split("== Physical Plan ==")[1]
     assert text.count("partial_") >= 1
