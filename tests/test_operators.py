@@ -161,6 +161,14 @@ def test_ranking(spark):
     assert values(ranking.retrieval_quality(ranked, F.col("hit"))) == [(2, 0.0, 0.5, 0.5, 0.25)]
 
 
+def test_the_nearest_one_of_each_query(spark):
+    """A query that has only itself has no row, and of equal vectors the smaller id is nearest."""
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (4, [3.0, 0.0])], "id long, v array<double>")
+    queries = rows.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+    assert values(ranking.nearest(queries, rows, 1), "qid", "id", "similarity") == [(1, 3, 1.0), (2, 1, 0.0), (3, 1, 1.0), (4, 1, 1.0)]
+    assert ranking.nearest(queries.where("qid = 1"), rows.where("id = 1"), 1).count() == 0
+
+
 def test_grounding(spark):
     rows = spark.createDataFrame([("The Cat  sat.", "x. the cat sat. y", ["x"]), ("a b c d e", "z", ["a b c d e f"]), ("none", "z", ["other"]), ("", "z", [])], "s string, src string, ss array<string>")
     assert [r.x for r in rows.select(grounding.lexical_match(F.col("s"), F.col("src"), F.col("ss")).alias("x")).collect()] == ["exact_substring", "token_overlap", "no_match", "exact_substring"]
