@@ -36,7 +36,7 @@ from plumbline.llm.common import Tables
 #: (least length, edits) of a corpus: about one edit for 20 characters, and never more than five.
 EDITS = ((20, 1), (40, 2), (60, 3), (80, 4), (100, 5))
 
-#: Characters whose counts are compared, each modulo 32; twelve to a long.
+#: Characters whose counts are compared, each modulo 16; eight to a long.
 LETTERS = "ehtaonisrlduc0123456789 "
 #: Most rows of hashes that are broadcast to pick up what belongs to them; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -120,26 +120,25 @@ def probe_keys(line: Column, edits: int) -> list[Column]:
     return [key for d in range(edits + 1) for key in _keys(line, edits, d, False)]
 
 
+#: Counts modulo 16 in eight bits, of which as many differ between two as the counts are apart around the circle.
+CIRCLE = [(1 << c) - 1 if c <= 8 else 256 - (1 << (c - 8)) for c in range(16)]
+
+
 def letter_counts(line: Column) -> Column:
-    """Counts of five bits each, twelve to each long of an array."""
+    """Counts of eight bits each, eight to each long of a struct, so that pairs are compared by whole longs."""
     longs = []
-    for at in range(0, len(LETTERS), 12):
+    for at in range(0, len(LETTERS), 8):
         total = F.lit(0).cast("long")
-        for j, letter in enumerate(LETTERS[at : at + 12]):
-            count = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(31)
-            total = total.bitwiseOR(F.shiftleft(count.cast("long"), 5 * j))
-        longs.append(total)
-    return F.array(*longs)
+        for j, letter in enumerate(LETTERS[at : at + 8]):
+            count = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(15)
+            total = total.bitwiseOR(F.shiftleft(F.get(F.array(*[F.lit(c).cast("long") for c in CIRCLE]), count), 8 * j))
+        longs.append(total.alias(f"c{at // 8}"))
+    return F.struct(*longs)
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """Least sum of differences between counts that two arrays stand for; an edit changes it by two at most."""
-    total = F.lit(0)
-    for j in range(len(LETTERS)):
-        count = lambda x: F.shiftrightunsigned(F.get(x, j // 12), 5 * (j % 12)).bitwiseAND(31)  # noqa: E731, B023
-        d = F.abs(count(a) - count(b)).cast("int")
-        total = total + F.least(d, 32 - d)
-    return total
+    """Least sum of differences between counts that two structs stand for; an edit changes it by two at most."""
+    return functools.reduce(Column.__add__, [F.bit_count(a[f"c{i}"].bitwiseXOR(b[f"c{i}"])) for i in range(-(-len(LETTERS) // 8))])
 
 
 def _shared(a: Column, b: Column) -> Column:

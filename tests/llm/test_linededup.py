@@ -175,3 +175,14 @@ def test_line_with_more_lines_than_a_filter_by_place_could_take(spark):
     text = "\n".join(hashlib.md5(str(i % 20_000).encode()).hexdigest() for i in range(40_000))
     out = ld.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), edits=1).collect()[0]
     assert out.lines.total == 40_000 and out.lines.repeated == 20_000 and out.lines.kept == 20_000 - out.lines.near
+
+
+def test_counts_are_compared_as_whole_longs(spark):
+    """A difference of counts is the way around the circle of 16, of whatever letters, and no pair's condition has a count of its own."""
+    rows = spark.createDataFrame([("e" * i + "9" * (j % 3), "e" * j + "h") for i in range(20) for j in range(20)], "a string, b string")
+    apart = ld.counts_apart(ld.letter_counts(F.col("a")), ld.letter_counts(F.col("b")))
+    for r in rows.select("a", "b", apart.alias("n")).collect():
+        d = abs(r.a.count("e") - r.b.count("e")) % 16
+        assert r.n == min(d, 16 - d) + r.a.count("9") + 1
+    counts = rows.select(ld.letter_counts(F.col("a")).alias("x"), ld.letter_counts(F.col("b")).alias("y"))
+    assert str(ld.counts_apart(F.col("x"), F.col("y"))).count("bit_count") == 3 and counts.schema["x"].dataType.typeName() == "struct"
