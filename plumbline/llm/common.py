@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +75,29 @@ class Tables:
         self.drop(*[table for table, path in list(self.names.values()) if path and not any(table is k for k in kept)])
 
 
+_REMEMBERED: list[Callable] = []
+
+
+def remembered(make: Callable) -> Callable:
+    """``make`` with its results kept by the worker process until :func:`forget`."""
+    kept = functools.cache(make)
+    _REMEMBERED.append(kept)
+    return kept
+
+
+def forget(*but: Callable) -> None:
+    """Drops what this process remembers for other work than ``but``, and gives the memory back; workers outlive stages."""
+    others = [f for f in _REMEMBERED if f not in but and f.cache_info().currsize]
+    for f in others:
+        f.cache_clear()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+
 class WordCache(dict):
     """A dictionary from word to ``make(word)`` that holds at most twice ``limit`` words.
 

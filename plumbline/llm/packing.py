@@ -14,7 +14,6 @@ whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 import zlib
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WordCache
+from plumbline.llm.common import WordCache, forget, remembered
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -101,7 +100,7 @@ class ChunkEncoder:
         return np.frombuffer(self.encode(text), "<u4")
 
 
-@functools.cache
+@remembered
 def encoder_of(path: str, words: int) -> ChunkEncoder:
     """One encoder for each worker process, which keeps what it has learnt from task to task."""
     return ChunkEncoder(path, words)
@@ -201,6 +200,7 @@ def pack(
     shards = max(1, -(-chars // shard_chars))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget(encoder_of)
         encoder, end = encoder_of(tokenizer_path, cache_words), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, len(whole), 512):
@@ -223,6 +223,7 @@ def pack(
         )
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()  # the words and the tokenizer, which are not needed beside a shard's ids
         shard, packer, done = None, None, []
         for pdf in batches:
             for now, doc_id, ids in zip(pdf["shard"], pdf["doc_id"], pdf["ids"], strict=True):

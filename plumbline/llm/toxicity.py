@@ -11,7 +11,6 @@ labelled rows. Scoring is one pass over the documents without a shuffle.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WordCache
+from plumbline.llm.common import WordCache, remembered
 
 TERM = re.compile(r"\w+")
 #: A word counts with its first so many characters, too: inflected and compound forms share those.
@@ -34,7 +33,7 @@ def held_out(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(True))
 
 
-@functools.cache
+@remembered
 def terms_of(bins: int) -> WordCache:
     """word -> bins of the word and of its stems, remembered by the worker process."""
 

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from plumbline.llm import packing
 from plumbline.llm.packing import ENDS, ChunkEncoder, SumOfSquares, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -113,3 +114,15 @@ def test_a_text_of_a_megabyte(spark):
     text = "Some words of a very long text, é and क़. " * 25_000
     rows = pack(spark.createDataFrame([(1, text, ""), (2, None, "")], SCHEMA), PATH).collect()
     check(rows, [(1, text), (2, None)], 2048)
+
+
+def test_a_worker_forgets_other_work():
+    from plumbline.llm import common, toxicity
+
+    words = toxicity.terms_of(64)
+    assert words["word"] and toxicity.terms_of(64) is words
+    encoder = packing.encoder_of(public_tokenizers.path("word_bpe_49k.json"), 10)
+    common.forget(packing.encoder_of)
+    assert toxicity.terms_of(64) is not words and packing.encoder_of(public_tokenizers.path("word_bpe_49k.json"), 10) is encoder
+    common.forget()
+    assert packing.encoder_of.cache_info().currsize == 0
