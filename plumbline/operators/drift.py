@@ -32,32 +32,53 @@ def point(candidate: DataFrame, baseline: DataFrame, policy: DataFrame) -> DataF
     return j.select("metric", F.explode(checks).alias("x")).select("metric", "x.*").where("ok is not null")
 
 
+#: Alerts that share a block of numbered events.
+BLOCK = 256
+
+
 def correlate(alerts: DataFrame, events: DataFrame, hours: int, most: int) -> DataFrame:
     """Of (alert_id, alert_ts) and (event_id, ts, type): the ``most`` events within ``hours`` of each alert, nearest first.
 
-    Nearest are at most ``most`` events of each of at most ``most`` moments on either side, so an alert never meets its
-    whole window: moments that have events are numbered in the order of time, by counts up to a bucket and a
-    window inside it, and an alert's moment meets those numbers by equality. Adds micros (signed) and rank.
+    Of a moment's events the first ``most`` count. They are numbered in the order of time, by counts up to a bucket and a
+    window inside it, and an alert is where it stands among them: what can be nearest to it has numbers from
+    ``3 * most - 2`` below to ``most`` above. Events are gathered in blocks of numbers with such margins, so an alert
+    meets one block, of which it takes a slice. Events are shuffled three times, results only where alerts share an id.
+    Adds micros (signed) and rank.
     """
-    width = hours * 3_600_000_000
-    few = events.withColumn("_at", F.unix_micros("ts")).where("_at is not null")
+    width, back = hours * 3_600_000_000, 3 * most - 2
+    few = events.withColumn("_at", F.unix_micros("ts")).where("_at is not null").drop("ts")
     few = few.withColumn("_n", F.row_number().over(Window.partitionBy("_at").orderBy("event_id"))).where(F.col("_n") <= most).drop("_n")
-    asked = alerts.withColumn("_alert_at", F.unix_micros("alert_ts")).where("_alert_at is not null")
-    both = few.select("_at", F.lit(1).alias("_event"), F.lit(0).alias("_asks")).union(asked.select("_alert_at", F.lit(0), F.lit(1)))
-    times = both.groupBy("_at").agg(F.max("_event").alias("_event"), F.max("_asks").alias("_asks")).withColumn("_b", F.floor(F.col("_at") / max(1, width // 1440)))
-    before = times.groupBy("_b").agg(F.sum("_event").alias("_here"))
+    rest, own = [c for c in few.columns if c not in ("_at", "event_id")], [c for c in alerts.columns if c != "alert_ts"]
+    several = F.count(F.lit(1)).over(Window.partitionBy("alert_id")) > 1
+    asked = alerts.withColumn("_at", F.unix_micros("alert_ts")).where("_at is not null").withColumn("_several", several)
+    # Events as columns, which take less room in a shuffle than structs; alerts as one, null for events, so that both uses below share a shuffle.
+    rows = few.select("_at", "event_id", *[F.col(c).alias(f"_event_{c}") for c in rest])
+    rows = rows.unionByName(asked.select("_at", F.struct("_several", *own).alias("_alert")), allowMissingColumns=True)
+    # A bucket that can't be null lets no join add a filter, which would keep uses from sharing the events' shuffle.
+    rows = rows.withColumn("_b", F.coalesce(F.floor(F.col("_at") / max(1, width // 144)), F.lit(0)))
+    before = rows.groupBy("_b").agg(F.count_if(F.col("_alert").isNull()).alias("_here"))
     before = before.select("_b", (F.sum("_here").over(Window.orderBy("_b")) - F.col("_here")).alias("_before"))
-    number = F.col("_before") + F.sum("_event").over(Window.partitionBy("_b").orderBy("_at"))
-    times = times.join(before, "_b").withColumn("_number", number)
-    wanted = times.where("_asks = 1").select(F.col("_at").alias("_alert_at"), F.explode(F.sequence(F.col("_number") - (most - 1), F.col("_number") + most)).alias("_number"))
-    apart = F.col("_at") - F.col("_alert_at")
-    met = wanted.join(times.where("_event = 1").select("_number", "_at"), "_number").drop("_number").withColumn("micros", apart).where(F.abs("micros") <= width)
-    nearest = [F.abs("micros"), "event_id"]
-    found = met.join(few, "_at").drop("_at")
-    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("_alert_at").orderBy(*nearest))).where(F.col("_n") <= most).drop("_n")
-    w = Window.partitionBy("alert_id").orderBy(*nearest)
-    near = asked.join(found, "_alert_at").select(*alerts.columns, *events.columns, "micros")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    order = Window.partitionBy("_b").orderBy("_at", F.col("_alert").isNotNull(), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_in", F.count_if(F.col("_alert").isNull()).over(order)).join(before, "_b").withColumn("_number", F.col("_before") + F.col("_in"))
+    block = lambda n: F.floor(n / BLOCK)
+    blocks = F.sequence(F.greatest(F.lit(0), block(F.col("_number") - most)), block(F.col("_number") + back))
+    event = F.struct("_at", "event_id", *[F.col(f"_event_{c}").alias(c) for c in rest]).alias("_event")
+    blocks = rows.where("_alert is null").select(F.explode(blocks).alias("_block"), event).groupBy("_block").agg(F.sort_array(F.collect_list("_event")).alias("_events"))
+    wanted = rows.where("_alert is not null").select(block(F.col("_number")).alias("_block"), "_number", F.col("_at").alias("_alert_at"), "_alert")
+    least = F.greatest(F.lit(1), F.col("_number") - back)
+    first = least - F.greatest(F.lit(1), F.col("_block") * BLOCK - back) + 1
+    met = F.slice("_events", first.cast("int"), (F.col("_number") + most + 1 - least).cast("int"))
+    micros = lambda e: e["_at"] - F.col("_alert_at")
+    met = F.transform(met, lambda e: F.struct(F.abs(micros(e)).alias("_apart"), e["event_id"].alias("_id"), micros(e).alias("micros"), e.alias("_event")))
+    met = F.slice(F.sort_array(F.filter(met, lambda e: e["_apart"] <= width)), 1, most)
+    near = wanted.join(blocks, "_block").select("_alert_at", "_alert", F.posexplode(met).alias("_rank", "_met"))
+    columns = [F.timestamp_micros("_alert_at").alias(c) if c == "alert_ts" else F.col("_alert")[c].alias(c) for c in alerts.columns]
+    columns += [(F.timestamp_micros("_met._event._at") if c == "ts" else F.col("_met._event")[c]).alias(c) for c in events.columns]
+    near = near.select(*columns, F.col("_met.micros").alias("micros"), (F.col("_rank") + 1).alias("rank"), "_alert._several")
+    # Ranks of alerts that share an id go on from one to the other, so these are ranked together.
+    w = Window.partitionBy("alert_id").orderBy(F.abs("micros"), "event_id")
+    shared = near.where("_several").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return near.where("not _several").unionByName(shared).drop("_several")
 
 
 def causation(micros: Column) -> tuple[Column, Column]:

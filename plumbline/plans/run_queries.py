@@ -196,7 +196,7 @@ _NEAR = f"""{GOVERNANCE}, al AS (SELECT event_id AS alert_id, ts AS alert_ts FRO
 def correlated(spark, d):
     g = governance_events(spark, d)
     alerts = g.where("type = 'drift_alert' and value > 150").select(F.col("event_id").alias("alert_id"), F.col("ts").alias("alert_ts"))
-    return drift.correlate(alerts, g.where("type = 'rule_change'").select("event_id", "ts", "type"), 24, 10)
+    return drift.correlate(alerts, g.where("type = 'rule_change'").select("event_id", "ts"), 24, 10)
 
 
 @query("event_correlation", f"WITH {_NEAR} SELECT alert_id, event_id, micros, rank FROM rk WHERE rank <= 10")

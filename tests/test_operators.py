@@ -150,6 +150,27 @@ def test_correlation_does_not_meet_whole_windows(spark):
     assert made and max(made) <= 200 * 4 * 2 * 4
 
 
+def test_correlation_shuffles_events_for_all_uses_at_once(spark):
+    """Events are not shuffled once more for each use, and results are not shuffled to be ranked; alerts that share an id are ranked as one."""
+    at = lambda i: (F.lit(1_704_067_200) + i).cast("timestamp")
+    events = spark.range(3000).select(F.col("id").alias("event_id"), at(F.col("id") * 20).alias("ts"))
+    alerts = spark.range(900).select(F.col("id").alias("alert_id"), at(F.col("id") * 61).alias("alert_ts"))
+    df = drift.correlate(alerts, events, 1, 10)
+    assert len(df.collect()) == 9000
+    made, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        node = node.finalPhysicalPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+        todo += [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        made += node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+    assert 3000 < made <= 4 * (3000 + 900)
+    shared = spark.createDataFrame([(1, 100), (1, 500), (2, 100), (None, 100), (None, 140)], "alert_id long, t long").select("alert_id", at(F.col("t")).alias("alert_ts"))
+    found = drift.correlate(shared, events.where("event_id < 30"), 1, 3)
+    assert sorted(values(found.where("alert_id = 1"), "event_id", "micros", "rank")) == [(4, -20_000_000, 3), (5, 0, 1), (25, 0, 2)]
+    assert sorted(values(found.where("alert_id is null"), "event_id", "micros", "rank")) == [(4, -20_000_000, 3), (5, 0, 1), (7, 0, 2)]
+    assert found.where("alert_id = 2").count() == 3 and found.columns == ["alert_id", "alert_ts", "event_id", "ts", "micros", "rank"]
+
+
 def test_ranking(spark):
     rows = spark.range(200).select(F.col("id").cast("string").alias("k"))
     first = {r.k for r in ranking.stable_sample(rows, "k", 50, "s").collect()}
