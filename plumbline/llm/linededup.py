@@ -186,15 +186,22 @@ def _state(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(masks, F.lit(start).cast("long"), step)
 
 
-#: Characters after which a longer text is given up if no diagonal is left.
+#: Characters at each end of a longer text that are read first; it is given up if they take more edits than are allowed.
 FIRST = 32
 
 
+def least_errors(a: Column, b: Column, edits: int) -> Column:
+    """Fewest errors, at most ``edits`` + 1, with which all of ``a`` meets any start of ``b``: the level of the state's lowest bit."""
+    lowest = lambda s: F.floor(F.sqrt(F.bit_count(s.bitwiseAND(-s) - 1).cast("double"))).cast("int")
+    return T.let(_state(a, b, edits), lambda s: F.when(s == 0, edits + 1).otherwise(lowest(s)))
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether ``b`` is at most ``edits`` edits from ``a``, by a bit-parallel automaton along the band of diagonals.
 
-    What both begin or end with alike changes no distance and is left off; what is left of a long text is
-    read as far as ``FIRST`` before the whole is. ``edits`` is at most 5.
+    What both begin or end with alike changes no distance and is left off; of what is left of a long text
+    ``FIRST`` characters from its start and from its end are read before the whole is: they don't overlap, so their
+    errors add up, and lines that differ in two places are mostly told by them. ``edits`` is at most 5.
     """
 
     def judged(m: Column) -> Column:
@@ -202,7 +209,8 @@ def within(a: Column, b: Column, edits: int) -> Column:
         longer = F.length(y) - F.length(x)
         bit = F.lit(edits * edits) + longer + edits
         near = F.call_function("shiftrightunsigned", _state(x, y, edits), bit.cast("int")).bitwiseAND(1) == 1
-        dead = _state(F.substring(x, 1, FIRST), F.substring(y, 1, FIRST + edits), edits) == 0
+        errors = lambda p, q: least_errors(F.substring(p, 1, FIRST), F.substring(q, 1, FIRST + edits), edits)
+        dead = T.let(errors(x, y), lambda e: F.when(e > edits, True).otherwise(e + errors(F.reverse(x), F.reverse(y)) > edits))
         hopeless = F.when((F.length(x) > 2 * FIRST) & (F.length(y) > 2 * FIRST), dead).otherwise(False)
         return F.when(F.abs(longer) > edits, False).when(F.greatest(F.length(x), F.length(y)) <= edits, True).when(hopeless, False).otherwise(near)
 

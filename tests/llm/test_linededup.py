@@ -43,6 +43,22 @@ def test_automaton_and_keys(spark, edits):
         assert not near or (row.k and row.c <= 2 * edits)
 
 
+@pytest.mark.parametrize("edits", [2, 5])
+def test_both_ends_of_long_lines_are_read_first(spark, edits):
+    """Errors at an end are the fewest there, and lines that are near pass both ends."""
+    r = random.Random(edits)
+    pairs = []
+    for _ in range(150):
+        a = "".join(r.choices("abcé ", k=r.randint(60, 130)))
+        b = edited(r, a, r.randint(0, edits))
+        pairs.append((a, r.choice([b, edited(r, b[:40], 3) + b[40:-40] + edited(r, b[-40:], 3), b[:9] + "x" + b[9:-9] + "y" + b[-9:]])))
+    out = spark.createDataFrame(pairs, "a string, b string").select("a", "b", ld.within(F.col("a"), F.col("b"), edits).alias("w"), ld.least_errors(F.substring("a", 1, 20), F.substring("b", 1, 20 + edits), edits).alias("e")).collect()
+    for row in out:
+        assert row.w == (edit_distance(row.a, row.b) <= edits)
+        assert row.e == min(edits + 1, *[edit_distance(row.a[:20], row.b[:n]) for n in range(20 - edits, 21 + edits)])
+    assert 20 < sum(row.w for row in out) < 130
+
+
 def brute(documents, edits, least):
     key = lambda raw: raw.strip(" \t\r").lower()
     docs = sorted({(d, t) for d, t in documents if t is not None})
