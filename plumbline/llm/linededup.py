@@ -42,8 +42,10 @@ LETTERS = "ehtaonisrlduc0123456789 "
 BROADCAST_ROWS = 500_000
 #: The same for keys alone, of eight bytes each.
 BROADCAST_KEYS = 2_000_000
+#: Most bytes of lines that are broadcast to the pairs that need them, and pairs that a task verifies then; beyond, lines are joined by shuffles.
+BROADCAST_BYTES, PAIRS = 24_000_000, 2_000
 #: Most rows that share a substring and are joined as they are; beyond, the rest of their lines is cut further, this often at most.
-HOT, ROUNDS = 64, 16
+HOT, ROUNDS = 256, 16
 
 
 def halves(edits: int) -> list[tuple[int, int]]:
@@ -142,48 +144,60 @@ def counts_apart(a: Column, b: Column) -> Column:
 
 
 def _shared(a: Column, b: Column) -> Column:
-    """How many characters two texts begin with alike, by halving."""
-    most = F.least(F.length(a), F.length(b))
-    same = lambda at, n: F.substring(a, at + 1, n) == F.substring(b, at + 1, n)
-    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), lambda at, n: F.when((n <= most - at) & same(at, n), at + n).otherwise(at))
+    """How many characters two texts begin with alike, by halving; both texts are made once, whatever they come from."""
 
+    def halved(p: Column) -> Column:
+        same = lambda at, n: F.substring(p["a"], at + 1, n) == F.substring(p["b"], at + 1, n)
+        return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), lambda at, n: F.when((n <= p["most"] - at) & same(at, n), at + n).otherwise(at))
 
-def _state(a: Column, b: Column, edits: int) -> Column:
-    """The automaton's state when it has read all of ``a`` against ``b``; 0 if no end of ``b`` can be near any more.
+    most = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.least(F.length(p["a"]), F.length(p["b"])).alias("most"))
+    return T.let(F.struct(a.alias("a"), b.alias("b")), lambda p: T.let(most(p), halved))
 
-    Bits stand for the diagonals of the band, ``2 * e + 1`` for each number ``e`` of errors, as
-    more are out of reach, side by side in a long. A character of ``a`` moves them all at once: a match
-    keeps a diagonal, and one error more allows a substitution (the same diagonal), a
-    deletion (one lower) or an insertion (one higher).
+
+def _errors(state: Column) -> Column:
+    """The errors that a state has counted on its diagonal."""
+    return F.shiftright(state, 22).bitwiseAND(4095)
+
+
+def _state(a: Column, b: Column, edits: int, diagonal: Column, most: int) -> Column:
+    """The automaton's state when it has read all of ``a`` against ``b``, or when the ``diagonal`` has come to ``most`` errors.
+
+    Bits stand for the ``2 * edits + 1`` diagonals of the band, from the lowest; more are out of reach. A column of
+    distances is two sets of bits, where it rises and where it falls from one character of ``b`` to the next, and a
+    character of ``a`` moves all of it at once (Hyyro's banded form of Myers' algorithm), whatever the number of edits.
+    A long has the rises in its first 11 bits, the falls in the next, from bit 22 the errors on the ``diagonal``, which never
+    become fewer, and from bit 34 the number of characters read.
     """
     width = 2 * edits + 1
-    band = (1 << width) - 1
-    chars = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    long = lambda x: F.lit(x).cast("long")
+    band, chars = long((1 << width) - 1), lambda text: F.filter(F.split(text, ""), lambda c: c != "")
 
-    def matches(pair: Column) -> Column:
-        def mask(c: Column, i: Column) -> Column:
-            bits = F.lit(0).cast("long")
-            for o in range(width):
-                bits = bits + F.when(F.get(pair["b"], i + (o - edits)) == c, F.lit(1 << o).cast("long")).otherwise(F.lit(0).cast("long"))
-            return bits
+    def read(p: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            rises, falls = s.bitwiseAND(band), F.shiftright(s, 11).bitwiseAND(band)
 
-        return F.transform(pair["a"], mask)
+            def equal(at: Column) -> Column:
+                bits = [F.when(F.get(p["b"], at + (o - edits)) == c, long(1 << o)).otherwise(long(0)) for o in range(width)]
+                return functools.reduce(Column.bitwiseOR, bits)
 
-    masks = T.let(F.struct(chars(a).alias("a"), chars(b).alias("b")), matches)
-    start = sum(((1 << (e + 1)) - 1) << (e + e * e) for e in range(edits + 1))
+            def moved(free: Column) -> Column:
+                # Bits of ``free`` are the diagonals on which this character costs nothing.
+                up = falls.bitwiseOR(F.bitwise_not(free.bitwiseOR(rises))).bitwiseAND(band)
+                below = F.shiftright(free, 1)
+                now = free.bitwiseAND(rises).bitwiseOR(F.bitwise_not(below.bitwiseOR(up)).bitwiseAND(band))
+                costs = (F.shiftright(s, 34) + p["d"] >= edits) & (free.bitwiseAND(p["bit"]) == 0)
+                read_so_far = F.shiftleft(F.shiftright(s, 22), 22) + F.when(costs, long((1 << 34) + (1 << 22))).otherwise(long(1 << 34))
+                return read_so_far + now + F.shiftleft(below.bitwiseAND(up), 11)
 
-    def step(state: Column, mask: Column) -> Column:
-        levels, below_old, below_new = F.lit(0).cast("long"), None, None
-        for e in range(edits + 1):
-            old = F.shiftleft(F.shiftright(state, e * e).bitwiseAND((1 << (2 * e + 1)) - 1), edits - e)
-            new = old.bitwiseAND(mask)
-            if e:
-                new = new.bitwiseOR(below_old).bitwiseOR(F.shiftright(below_old, 1)).bitwiseOR(F.shiftleft(below_new, 1)).bitwiseAND(band)
-            levels = levels.bitwiseOR(F.shiftleft(F.shiftright(new, edits - e), e * e))
-            below_old, below_new = old, new
-        return levels
+            free = lambda x: (x.bitwiseAND(rises) + rises).bitwiseXOR(rises).bitwiseOR(x).bitwiseOR(falls).bitwiseAND(band)
+            go_on = T.let(equal(F.shiftright(s, 34).cast("int")), lambda x: T.let(free(x), moved))
+            return F.when(_errors(s) >= most, s).otherwise(go_on)
 
-    return F.aggregate(masks, F.lit(start).cast("long"), step)
+        start = long(((1 << (edits + 1)) - 1) << edits) + F.shiftleft(F.abs(p["d"] - edits).cast("long"), 22)
+        return F.aggregate(p["a"], start, step)
+
+    bit = F.element_at(F.array(*[long(1 << o) for o in range(width)]), diagonal + 1)
+    return T.let(F.struct(chars(a).alias("a"), chars(b).alias("b"), diagonal.alias("d"), bit.alias("bit")), read)
 
 
 #: Characters at each end of a longer text that are read first; it is given up if they take more edits than are allowed.
@@ -191,9 +205,19 @@ FIRST = 32
 
 
 def least_errors(a: Column, b: Column, edits: int) -> Column:
-    """Fewest errors, at most ``edits`` + 1, with which all of ``a`` meets any start of ``b``: the level of the state's lowest bit."""
-    lowest = lambda s: F.floor(F.sqrt(F.bit_count(s.bitwiseAND(-s) - 1).cast("double"))).cast("int")
-    return T.let(_state(a, b, edits), lambda s: F.when(s == 0, edits + 1).otherwise(lowest(s)))
+    """Fewest errors, at most ``edits`` + 1, with which all of ``a`` meets any start of ``b``: the least of the last column."""
+
+    def least(s: Column) -> Column:
+        mid, found = _errors(s), [F.lit(edits + 1).cast("long")]
+        count = lambda bits: F.bit_count(s.bitwiseAND(bits)) - F.bit_count(F.shiftright(s, 11).bitwiseAND(bits))
+        # After a step the bits stand one diagonal higher, so a difference to the diagonal above is in that bit less one.
+        for o in range(2 * edits + 1):
+            low, high = min(o, edits), max(o, edits)
+            between = F.lit(((1 << high) - 1) ^ ((1 << low) - 1)).cast("long")
+            found.append(mid + count(between) if o > edits else mid - count(between) if o < edits else mid)
+        return F.least(*found).cast("int")
+
+    return T.let(_state(a, b, edits, F.lit(edits), 4095), least)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -207,8 +231,7 @@ def within(a: Column, b: Column, edits: int) -> Column:
     def judged(m: Column) -> Column:
         x, y = m["x"], m["y"]
         longer = F.length(y) - F.length(x)
-        bit = F.lit(edits * edits) + longer + edits
-        near = F.call_function("shiftrightunsigned", _state(x, y, edits), bit.cast("int")).bitwiseAND(1) == 1
+        near = _errors(_state(x, y, edits, longer + edits, edits + 1)) <= edits
         errors = lambda p, q: least_errors(F.substring(p, 1, FIRST), F.substring(q, 1, FIRST + edits), edits)
         dead = T.let(errors(x, y), lambda e: F.when(e > edits, True).otherwise(e + errors(F.reverse(x), F.reverse(y)) > edits))
         hopeless = F.when((F.length(x) > 2 * FIRST) & (F.length(y) > 2 * FIRST), dead).otherwise(False)
@@ -308,9 +331,14 @@ def _side(rows: DataFrame, name: str, *others: str) -> DataFrame:
     return rows.select(*others, *[F.col(c).alias(f"{c}_{name}") for c in rows.columns if c not in others])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """(h, g) of the later lines of the pairs (h_a, h_b) of hashes that are within the shorter's edits."""
-    lines, close = texts.select("h", "g", "first", "line"), F.lit(False)
+def _verified(pairs: DataFrame, texts: DataFrame, steps: list[tuple[int, int]], tables: Tables) -> DataFrame:
+    """(h, g) of the later lines of the pairs (h_a, h_b), a table of hashes, that are within the shorter's edits."""
+    met = tables.put(pairs.select(F.col("h_a").alias("h")).union(pairs.select("h_b")).distinct())
+    lines = tables.put(texts.join(_few(met), "h").select("h", "g", "first", "line"))
+    held, close = lines.agg(F.sum(F.octet_length("line"))).first()[0] or 0, F.lit(False)
+    if held <= BROADCAST_BYTES:
+        # Pairs are two hashes each where they are dealt out, and no line is written for each of its pairs.
+        pairs, lines = pairs.repartition(1 + pairs.count() // PAIRS, "h_a", "h_b"), F.broadcast(lines)
     met = pairs.join(_side(lines, "a"), "h_a").join(_side(lines, "b"), "h_b")
     allowed = allowed_edits(F.least(F.length("line_a"), F.length("line_b")), steps)
     for edits in sorted({e for _, e in steps}):
@@ -339,7 +367,7 @@ def near_lines(first: DataFrame, steps: list[tuple[int, int]], tables: Tables) -
     pivots = tables.put(lines.groupBy("key").agg(earliest, F.count(F.lit(1)).alias("lines")))
     pairs = _side(lines, "b", "key").join(_side(pivots.select("key", "p.*"), "a", "key"), "key")
     pairs = tables.put(pairs.where(_alike(steps)).select("h_a", "h_b").distinct())
-    settled = tables.put(_verified(pairs, texts, steps))
+    settled = tables.put(_verified(pairs, texts, steps, tables))
     # What is left: substrings of three lines and more, of which one that is not the earliest is unsettled.
     marks = texts.select("h", "g", "first", F.length("line").alias("size"), "counts").join(_few(settled.withColumn("settled", F.lit(True))), ["h", "g"], "left")
     marks = tables.put(marks.select("h", "first", "size", "counts", F.col("settled").isNull().alias("open")))
@@ -362,7 +390,8 @@ def near_lines(first: DataFrame, steps: list[tuple[int, int]], tables: Tables) -
         if go_on.isEmpty():
             break
         state = _deeper(go_on, texts, tables)
-    return tables.put(settled.union(_verified(functools.reduce(DataFrame.union, more).distinct(), texts, steps)).distinct())
+    more = tables.put(functools.reduce(DataFrame.union, more).distinct())
+    return tables.put(settled.union(_verified(more, texts, steps, tables)).distinct())
 
 
 def dedup_lines(

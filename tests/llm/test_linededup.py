@@ -202,3 +202,27 @@ def test_counts_are_compared_as_whole_longs(spark):
         assert r.n == min(d, 16 - d) + r.a.count("9") + 1
     counts = rows.select(ld.letter_counts(F.col("a")).alias("x"), ld.letter_counts(F.col("b")).alias("y"))
     assert str(ld.counts_apart(F.col("x"), F.col("y"))).count("bit_count") == 3 and counts.schema["x"].dataType.typeName() == "struct"
+
+
+def test_a_step_of_the_automaton_grows_with_the_band_alone(spark):
+    """The expression of a step had the square of the edits; now it has what one more diagonal on each side takes."""
+    size = lambda edits: len(ld.within(F.col("a"), F.col("b"), edits)._jc.toString())
+    assert size(5) - size(3) < 1.2 * (size(3) - size(1))
+
+
+def test_lines_are_broadcast_to_their_pairs_or_joined(spark, monkeypatch):
+    r, rows = random.Random(8), []
+    for i in range(60):
+        a = "".join(r.choices("abcdefgh ", k=120))
+        rows += [(4 * i + k, i, f"{i:04d}", x) for k, x in enumerate([a, edited(r, a, 4), a[:40] + "other words " + a[50:], edited(r, a, 9)])]
+    texts = spark.createDataFrame([(h, g, first, line) for h, g, first, line in rows], "h long, g long, first string, line string")
+    pairs = spark.createDataFrame([(4 * i + j, 4 * i + k) for i in range(60) for j in range(4) for k in range(j)], "h_a long, h_b long")
+    line = {h: x for h, _, _, x in rows}
+    want = {max(a, b) if (a // 4) == (b // 4) else None for a, b in [tuple(p) for p in pairs.collect()] if edit_distance(line[a], line[b]) <= 5}
+    texts = texts.withColumn("first", F.struct("first", "h"))
+    for most in (ld.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(ld, "BROADCAST_BYTES", most)
+        out = ld._verified(pairs, texts, [(20, 5)], ld.Tables(spark))
+        assert {x.h for x in out.collect()} == want and len(want) >= 60
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan) or not most
