@@ -333,18 +333,24 @@ def _may_link(pairs: DataFrame, nodes: DataFrame, bits: int, limit: int, percent
 def _sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, settings: tuple, tables: Tables) -> DataFrame:
     """(id, shingles) of the classes ``wanted``, of the text of their smallest doc_id."""
     wanted = tables.put(nodes.join(wanted.distinct(), "node", "left_semi").select(F.col("node").alias("set_id"), F.col("least").alias("doc_id")))
-    ids = wanted.select("doc_id").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
-    sets = full_sets(texts.join(ids, "doc_id", "left_semi"), settings).where("set_id is not null")
-    return tables.put(sets.join(wanted, ["doc_id", "set_id"]).dropDuplicates(["set_id"]).select(F.col("set_id").alias("id"), "shingles"))
+    n = wanted.count()
+    few = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+    sets = full_sets(texts.join(few(wanted.select("doc_id").distinct()), "doc_id", "left_semi"), settings).where("set_id is not null")
+    sets = tables.put(sets.join(few(wanted), ["doc_id", "set_id"]).select(F.col("set_id").alias("id"), "shingles"))
+    # Only rows equal in id and set give one twice; sets are not moved to look for it.
+    return sets if sets.count() == n else tables.put(sets.dropDuplicates(["id"]))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
-    """The pairs whose full sets are similar enough; a pivot's pairs are dealt over several tasks before sets join them."""
+    """The pairs whose full sets are similar enough; a pivot's pairs are dealt over several tasks before sets join them.
+
+    Up to ``BROADCAST_ROWS`` pairs go to the sets, so that a wave moves a node's set for each of its pairs and its pivots' sets alone.
+    """
     salts = tables.put(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("_salts")))
-    dealt = pairs.join(salts, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("_salts")).cast("int").alias("_salt"))
-    pivots = salts.join(sets.withColumnsRenamed({"id": "pivot", "shingles": "_b"}), "pivot").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    both = dealt.join(sets.withColumnsRenamed({"id": "node", "shingles": "_a"}), "node").join(pivots.drop("_salts"), ["pivot", "_salt"])
+    few = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
+    dealt = pairs.join(few(salts), "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("_salts")).cast("int").alias("_salt"))
+    pivots = sets.withColumnsRenamed({"id": "pivot", "shingles": "_b"}).join(few(salts), "pivot").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    both = sets.withColumnsRenamed({"id": "node", "shingles": "_a"}).join(few(dealt), "node").join(pivots.drop("_salts"), ["pivot", "_salt"])
     shared = F.size(F.array_intersect("_a", "_b"))
     return both.where(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("pivot", "node")
 

@@ -165,3 +165,28 @@ def test_many_near_copies_and_a_text_of_a_megabyte(spark):
     got = rows_of(near_duplicates(spark.createDataFrame([(d, t, "", "") for d, t in documents], SCHEMA).repartition(8), words=4))
     assert len(long) > 1_000_000
     assert [(d, c) for d, _, c, _ in got] == [(i, 0) for i in range(5_000)] + [(6_000, 6_000), (6_001, 6_000), (6_002, 6_002)]
+
+
+def test_pairs_go_to_the_sets_unless_they_are_too_many(spark, monkeypatch):
+    """Confirming shuffles the sets that pairs need by their pivots alone; it shuffled all sets by node, too."""
+    sets = spark.createDataFrame([(i, [*range(i % 7, 40 + i % 7)]) for i in range(60)], "id long, shingles array<long>")
+    found = [(p, n) for p in range(0, 60, 20) for n in range(60) if n != p]
+    shared = lambda p, n: 40 - abs(p % 7 - n % 7)
+    want = sorted((p, n) for p, n in found if 100 * shared(p, n) >= 90 * (80 - shared(p, n)))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for most in (neardup.BROADCAST_ROWS, 0):
+            monkeypatch.setattr(neardup, "BROADCAST_ROWS", most)
+            out = neardup._confirmed(spark.createDataFrame(found, "pivot long, node long"), sets, 90, neardup.Tables(spark))
+            assert sorted(map(tuple, out.collect())) == want and 20 < len(want) < len(found)
+            assert ("hashpartitioning(node" in out._jdf.queryExecution().executedPlan().toString()) == (not most)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_rows_equal_in_id_and_text_give_one_set(spark):
+    a = " ".join(f"a{i}" for i in range(80))
+    documents = [(1, a), (1, a), (2, a + " x"), (2, a + " x"), (3, a + " y")]
+    got = rows_of(near_duplicates(spark.createDataFrame([(d, t, "", "") for d, t in documents], SCHEMA), words=4))
+    assert got == [(1, 77, 1, True)] * 2 + [(2, 78, 1, False)] * 2 + [(3, 78, 1, False)]
