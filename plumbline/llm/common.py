@@ -53,10 +53,10 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.names = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", {}
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """``df`` as a table."""
+    def put(self, df: DataFrame, **options: str) -> DataFrame:
+        """``df`` as a table, written with these options."""
         path = f"{self.root}/{len(self.names)}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.names[id(table)] = table, path
         return table

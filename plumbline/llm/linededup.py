@@ -3,10 +3,12 @@
 A line is cut into ``edits + 1`` segments of one width, half of them measured from its start and
 half from its end. Of two lines within ``edits`` edits, either the segments at the start hold fewer
 edits than there are of them or those at the end do. So a segment is whole in both lines, the i-th of
-its half with at most i edits outside it, and stands at most i characters from its place. Every line
-is indexed by its segments' hashes and probes the index with the substrings where such a segment of
-a line as long or shorter may stand. Widths go by classes of lengths, so that few substrings do for
-all lengths, and a line just over a class's bound probes with the class below, too.
+its half with at most i edits outside it, and stands at most i characters from its place. Of it the
+substrings i characters narrower are hashed that begin 0 to i characters into it: wherever the segment
+stands in the other line, one of these begins in one line at its place and is one of the other's. So
+lines look for each other with i + 1 substrings of a segment, not 2i + 1. Widths go by classes of
+lengths, so that few substrings do for all lengths, and a line just over a class's bound has those of
+the class below, too.
 
 The first pass shuffles hashes alone and finds the live substrings, those that several lines share.
 Only lines that have one are read again. The earliest line of a live substring is compared with all
@@ -15,7 +17,8 @@ Then unsettled lines meet all earlier lines, by index and probe. A substring tha
 templates have, is not joined but goes on: what a pair has beside the segment, allowed the edits
 that are left, is cut into segments in turn, until few lines share a key. Counts of frequent
 characters travel along, and pairs whose counts differ by more than the edits allow are dropped
-where they meet. What is left is verified by a bit-parallel automaton along the band of diagonals.
+where they meet, for the whole and for what is before and after a few places, as errors before a place
+and after it add up. What is left is verified by a bit-parallel automaton along the band of diagonals.
 
 Equal lines are one line from the start, found by hash aggregation with partial sums, so a
 line that stands in a third of all documents is one row for each task. All of it is DataFrame
@@ -38,6 +41,8 @@ EDITS = ((20, 1), (40, 2), (60, 3), (80, 4), (100, 5))
 
 #: Characters whose counts are compared, each modulo 16; eight to a long.
 LETTERS = "ehtaonisrlduc0123456789 "
+#: The same for parts of lines.
+PART_LETTERS = "ehtaonisrlduwg05"
 #: Most rows of hashes that are broadcast to pick up what belongs to them; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: The same for keys alone, of eight bytes each.
@@ -45,7 +50,9 @@ BROADCAST_KEYS = 2_000_000
 #: Most bytes of lines that are broadcast to the pairs that need them, and pairs that a task verifies then; beyond, lines are joined by shuffles.
 BROADCAST_BYTES, PAIRS = 24_000_000, 2_000
 #: Most rows that share a substring and are joined as they are; beyond, the rest of their lines is cut further, this often at most.
-HOT, ROUNDS = 256, 16
+HOT, ROUNDS = 4096, 16
+#: Least rows that share a substring for their parts to be counted.
+MANY = 16
 
 
 def halves(edits: int) -> list[tuple[int, int]]:
@@ -60,14 +67,24 @@ def width(n: Column, edits: Column) -> Column:
     return F.floor(least / (edits + 1)).cast("int")
 
 
-def _codes(edits: int, whole: bool) -> list[int]:
+def _codes(edits: int) -> list[int]:
     """Side, number and shift (8 for none) of the substrings to look at, each in one number."""
-    return [side * 256 + i * 16 + shift + 8 for side, i in halves(edits) for shift in ([0] if whole else range(-i, i + 1))] if edits else [-1]
+    return [side * 256 + i * 16 + shift + 8 for side, i in halves(edits) for shift in range(i + 1)] if edits else [-1]
+
+
+def _number(code: Column) -> Column:
+    """Number of a code's segment in its half, which is also by how much its substrings are narrower."""
+    return F.shiftright(code, 4).bitwiseAND(15)
+
+
+def _unshifted(code: Column) -> Column:
+    """Whether a substring begins where its segment does; of two that are one segment, one does."""
+    return (code < 0) | (code.bitwiseAND(15) == 8)
 
 
 def _start(code: Column, n: Column, wide: Column) -> Column:
     """Where a text of ``n`` characters has the substring of a code."""
-    i, shift = F.shiftright(code, 4).bitwiseAND(15), code.bitwiseAND(15) - 8
+    i, shift = _number(code), code.bitwiseAND(15) - 8
     return F.when(code < 256, i * wide).otherwise(n - (i + 1) * wide) + shift
 
 
@@ -76,71 +93,106 @@ def wide_text(text: Column) -> Column:
     return F.encode(text, "UTF-32")
 
 
-def _table(whole: bool) -> Column:
-    """By edits, what to look at: a code, and the factors of the text's length and the width whose sum, with a shift, is its place in bytes."""
+def _table() -> Column:
+    """By edits, what to look at: a code, the factors of the text's length and the width whose sum, with a shift, is its place in bytes, and how many it is narrower."""
 
     def row(edits: int, code: int) -> Column:
         i, shift, right = (code >> 4) & 15, (code & 15) - 8, code >= 256
-        place = (int(right), -(i + 1) if right else i, 4 * shift + 1) if code >= 0 else (0, 0, 0)
-        return F.struct(F.lit(code).alias("code"), F.lit(edits * 512 + (code >> 4)).alias("seed"), *[F.lit(x).alias(c) for c, x in zip("rms", place, strict=True)])
+        place = (int(right), -(i + 1) if right else i, 4 * shift + 1, 4 * i) if code >= 0 else (0, 0, 0, 0)
+        return F.struct(F.lit(code).alias("code"), F.lit(edits * 512 + (code >> 4)).alias("seed"), *[F.lit(x).alias(c) for c, x in zip("rmsi", place, strict=True)])
 
-    return F.array(*[F.array(*[row(e, c) for c in _codes(e, whole)]) for e in range(6)])
+    return F.array(*[F.array(*[row(e, c) for c in _codes(e)]) for e in range(6)])
 
 
 def segment_key(x: Column, data: Column, n: Column, edits: Column, wide: Column, under: Column) -> Column:
-    """The hash of the segment, or of the substring that may be one, that a row ``x`` of the table means.
+    """The hash of the substring of a segment that a row ``x`` of the table means.
 
     ``data`` is the :func:`wide_text`. Texts too short for segments all have the one key of such, and those that
     allow no edits are one segment. A substring that would not be inside gives a key of no meaning, which
     costs a comparison at most.
     """
-    part = F.substring(data, x["r"] * 4 * n + x["m"] * 4 * wide + x["s"], 4 * wide)
+    part = F.substring(data, x["r"] * 4 * n + x["m"] * 4 * wide + x["s"], 4 * wide - x["i"])
     alone = F.when(edits == 0, F.xxhash64(under, F.lit(-2), data)).otherwise(F.xxhash64(under, -3 - edits))
     return F.when(x["code"] < 0, alone).otherwise(F.xxhash64(under, x["seed"], part))
 
 
-def _rows(edits: Column, wide: Column, whole: bool = False) -> Column:
-    """The table's rows for a text."""
-    table = _table(whole)
-    return F.when(wide == 0, F.get(table, F.lit(0))).otherwise(F.get(table, edits))
+def _rows(edits: Column, wide: Column) -> Column:
+    """The table's rows for a text; it is too short if the narrowest substrings would be empty."""
+    table = _table()
+    return F.when(wide <= F.shiftright(edits, 1), F.get(table, F.lit(0))).otherwise(F.get(table, edits))
 
 
-def _keys(line: Column, edits: int, d: int, whole: bool) -> list[Column]:
+def _keys(line: Column, edits: int, d: int) -> list[Column]:
     n, e = F.length(line), F.lit(edits)
     wide, data = width(n - d, e), wide_text(line)
-    found = F.transform(_rows(e, wide, whole), lambda x: segment_key(x, data, n, e, wide, F.lit(0).cast("long")))
-    return [F.get(found, i) for i in range(len(_codes(edits, whole)))]
+    found = F.transform(_rows(e, wide), lambda x: segment_key(x, data, n, e, wide, F.lit(0).cast("long")))
+    return [F.get(found, i) for i in range(len(_codes(edits)))]
 
 
 def index_keys(line: Column, edits: int) -> list[Column]:
-    """Hashes of a line's segments."""
-    return _keys(line, edits, 0, True)
+    """Hashes of the substrings of a line's segments."""
+    return _keys(line, edits, 0)
 
 
 def probe_keys(line: Column, edits: int) -> list[Column]:
-    """Hashes of the substrings that could be a segment of a line as long or up to ``edits`` shorter."""
-    return [key for d in range(edits + 1) for key in _keys(line, edits, d, False)]
+    """Hashes of the same for lines as long or up to ``edits`` shorter."""
+    return [key for d in range(edits + 1) for key in _keys(line, edits, d)]
 
 
 #: Counts modulo 16 in eight bits, of which as many differ between two as the counts are apart around the circle.
 CIRCLE = [(1 << c) - 1 if c <= 8 else 256 - (1 << (c - 8)) for c in range(16)]
 
 
-def letter_counts(line: Column) -> Column:
+def letter_counts(line: Column, letters: str = LETTERS) -> Column:
     """Counts of eight bits each, eight to each long of a struct, so that pairs are compared by whole longs."""
     longs = []
-    for at in range(0, len(LETTERS), 8):
+    for at in range(0, len(letters), 8):
         total = F.lit(0).cast("long")
-        for j, letter in enumerate(LETTERS[at : at + 8]):
+        for j, letter in enumerate(letters[at : at + 8]):
             count = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(15)
             total = total.bitwiseOR(F.shiftleft(F.get(F.array(*[F.lit(c).cast("long") for c in CIRCLE]), count), 8 * j))
         longs.append(total.alias(f"c{at // 8}"))
     return F.struct(*longs)
 
 
-def counts_apart(a: Column, b: Column) -> Column:
+def counts_apart(a: Column, b: Column, letters: str = LETTERS) -> Column:
     """Least sum of differences between counts that two structs stand for; an edit changes it by two at most."""
-    return functools.reduce(Column.__add__, [F.bit_count(a[f"c{i}"].bitwiseXOR(b[f"c{i}"])) for i in range(-(-len(LETTERS) // 8))])
+    return functools.reduce(Column.__add__, [F.bit_count(a[f"c{i}"].bitwiseXOR(b[f"c{i}"])) for i in range(-(-len(letters) // 8))])
+
+
+def part_counts(line: Column, edits: Column, wide: Column) -> Column:
+    """Counts before (a0 to a2) and after (z0 to z2) three places of a line, the second between its halves, and hashes of its first and last segment."""
+    middle, found = F.floor((edits + 2) / 2), []
+    for k in range(3):
+        at = (F.greatest(F.lit(1), F.least(edits, middle + k - 1)) * wide).cast("int")
+        after = ((edits + 1) * wide - at).cast("int")
+        found.append(letter_counts(F.substring(line, F.lit(1), at), PART_LETTERS).alias(f"a{k}"))
+        found.append(letter_counts(F.substring(line, F.length(line) - after + 1, after), PART_LETTERS).alias(f"z{k}"))
+    ends = F.substring(line, F.lit(1), wide), F.substring(line, F.length(line) - wide + 1, wide)
+    return F.struct(*found, *[F.xxhash64(x).alias(c) for c, x in zip(("first", "last"), ends, strict=True)])
+
+
+def parts_alike(a: Column, b: Column, edits: Column) -> Column:
+    """Whether :func:`part_counts` leave open that two lines of one class are near.
+
+    Edits before a place change the counts before it by two at most each, also where the other line's part of as many
+    characters is not the aligned one, and those after it the counts after it; so both sides' least edits add up.
+    """
+    least = lambda c: F.shiftright(counts_apart(a[c], b[c], PART_LETTERS) + 1, 1)
+    return functools.reduce(Column.__and__, [least(f"a{k}") + least(f"z{k}") <= edits for k in (1, 0, 2)])
+
+
+def found_here(a: Column, b: Column, edits: Column, code: Column) -> Column:
+    """Whether a pair of one class is to be found by this key of whole lines.
+
+    The half of the key has fewer edits than segments. Where both begin (or end) with the same segment, an alignment has it
+    whole, so that half's other segments need not find the pair; and the right half need not if the first segment does.
+    """
+    few = lambda c, segments: counts_apart(a[c], b[c], PART_LETTERS) <= 2 * (segments - 1)
+    left, right = few("a1", F.shiftright(edits + 2, 1)), few("z1", F.shiftright(edits + 1, 1))
+    first, last = a["first"] == b["first"], a["last"] == b["last"]
+    begins = _number(code) == 0
+    return F.when(code < 0, True).when(code < 256, left & (begins | ~first)).otherwise(right & ~(first & left) & (begins | ~last))
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -159,7 +211,7 @@ def _errors(state: Column) -> Column:
     return F.shiftright(state, 22).bitwiseAND(4095)
 
 
-def _state(a: Column, b: Column, edits: int, diagonal: Column, most: int) -> Column:
+def _state(a: Column, b: Column, edits: int, diagonal: Column, most: Column) -> Column:
     """The automaton's state when it has read all of ``a`` against ``b``, or when the ``diagonal`` has come to ``most`` errors.
 
     Bits stand for the ``2 * edits + 1`` diagonals of the band, from the lowest; more are out of reach. A column of
@@ -191,13 +243,13 @@ def _state(a: Column, b: Column, edits: int, diagonal: Column, most: int) -> Col
 
             free = lambda x: (x.bitwiseAND(rises) + rises).bitwiseXOR(rises).bitwiseOR(x).bitwiseOR(falls).bitwiseAND(band)
             go_on = T.let(equal(F.shiftright(s, 34).cast("int")), lambda x: T.let(free(x), moved))
-            return F.when(_errors(s) >= most, s).otherwise(go_on)
+            return F.when(_errors(s) >= p["most"], s).otherwise(go_on)
 
         start = long(((1 << (edits + 1)) - 1) << edits) + F.shiftleft(F.abs(p["d"] - edits).cast("long"), 22)
         return F.aggregate(p["a"], start, step)
 
     bit = F.element_at(F.array(*[long(1 << o) for o in range(width)]), diagonal + 1)
-    return T.let(F.struct(chars(a).alias("a"), chars(b).alias("b"), diagonal.alias("d"), bit.alias("bit")), read)
+    return T.let(F.struct(chars(a).alias("a"), chars(b).alias("b"), diagonal.alias("d"), bit.alias("bit"), most.alias("most")), read)
 
 
 #: Characters at each end of a longer text that are read first; it is given up if they take more edits than are allowed.
@@ -217,38 +269,39 @@ def least_errors(a: Column, b: Column, edits: int) -> Column:
             found.append(mid + count(between) if o > edits else mid - count(between) if o < edits else mid)
         return F.least(*found).cast("int")
 
-    return T.let(_state(a, b, edits, F.lit(edits), 4095), least)
+    return T.let(_state(a, b, edits, F.lit(edits), F.lit(4095)), least)
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether ``b`` is at most ``edits`` edits from ``a``, by a bit-parallel automaton along the band of diagonals.
+def within(a: Column, b: Column, edits: int, allowed: Column | None = None) -> Column:
+    """Whether ``b`` is at most ``edits`` edits (or ``allowed``, which are no more) from ``a``, by a bit-parallel automaton along the band of diagonals.
 
     What both begin or end with alike changes no distance and is left off; of what is left of a long text
     ``FIRST`` characters from its start and from its end are read before the whole is: they don't overlap, so their
     errors add up, and lines that differ in two places are mostly told by them. ``edits`` is at most 5.
     """
+    allowed = F.lit(edits) if allowed is None else allowed
 
     def judged(m: Column) -> Column:
-        x, y = m["x"], m["y"]
+        x, y, allowed = m["x"], m["y"], m["allowed"]
         longer = F.length(y) - F.length(x)
-        near = _errors(_state(x, y, edits, longer + edits, edits + 1)) <= edits
+        near = _errors(_state(x, y, edits, longer + edits, allowed + 1)) <= allowed
         errors = lambda p, q: least_errors(F.substring(p, 1, FIRST), F.substring(q, 1, FIRST + edits), edits)
-        dead = T.let(errors(x, y), lambda e: F.when(e > edits, True).otherwise(e + errors(F.reverse(x), F.reverse(y)) > edits))
+        dead = T.let(errors(x, y), lambda e: F.when(e > allowed, True).otherwise(e + errors(F.reverse(x), F.reverse(y)) > allowed))
         hopeless = F.when((F.length(x) > 2 * FIRST) & (F.length(y) > 2 * FIRST), dead).otherwise(False)
-        return F.when(F.abs(longer) > edits, False).when(F.greatest(F.length(x), F.length(y)) <= edits, True).when(hopeless, False).otherwise(near)
+        return F.when(F.abs(longer) > allowed, False).when(F.greatest(F.length(x), F.length(y)) <= allowed, True).when(hopeless, False).otherwise(near)
 
     def ends(m: Column) -> Column:
-        cut = lambda n: F.struct(F.substring(m["x"], F.lit(1), F.length(m["x"]) - n).alias("x"), F.substring(m["y"], F.lit(1), F.length(m["y"]) - n).alias("y"))
+        cut = lambda n: F.struct(F.substring(m["x"], F.lit(1), F.length(m["x"]) - n).alias("x"), F.substring(m["y"], F.lit(1), F.length(m["y"]) - n).alias("y"), m["allowed"].alias("allowed"))
         return T.let(_shared(F.reverse(m["x"]), F.reverse(m["y"])), lambda n: T.let(cut(n), judged))
 
-    begins = lambda n: F.struct(F.substring(a, n + 1, F.length(a)).alias("x"), F.substring(b, n + 1, F.length(b)).alias("y"))
+    begins = lambda n: F.struct(F.substring(a, n + 1, F.length(a)).alias("x"), F.substring(b, n + 1, F.length(b)).alias("y"), allowed.alias("allowed"))
     return T.let(_shared(a, b), lambda n: T.let(begins(n), ends))
 
 
 def _lines(base: DataFrame, least: int) -> DataFrame:
     """(d, t, pos, line, h, g): all lines of at least ``least`` characters, trimmed and in lower case; h and g are 128 bits of hashes."""
-    lines = F.transform(F.split("text", "\n", -1), lambda raw: F.lower(F.trim(raw, F.lit(" \t\r"))))
-    rows = base.select("d", "t", F.posexplode(lines).alias("pos", "line")).where(F.length("line") >= least)
+    rows = base.select("d", "t", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("pos", "line"))
+    rows = rows.withColumn("line", F.trim("line", F.lit(" \t\r"))).where(F.length("line") >= least)
     return rows.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit("g"), "line"))
 
 
@@ -275,33 +328,50 @@ def _few(df: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    """``rows`` (data, n, e, wide, own, under, ...) by entry: key and code in place of data; index rows are the segments of the own class.
+    """``rows`` (data, n, e, wide, own, under, ...) by entry: key and code in place of data.
 
     The table is exploded, not the keys, so that keys are made in compiled code.
     """
     key = segment_key(F.col("x"), F.col("data"), F.col("n"), F.col("e"), F.col("wide"), F.col("under"))
-    index = F.col("own") & ((F.col("x.code") < 0) | (F.col("x.code").bitwiseAND(15) == 8))
     rest = [c for c in rows.columns if c not in ("data", "own", "under")]
-    return rows.withColumn("x", F.explode(_rows(F.col("e"), F.col("wide")))).select(*rest, key.alias("key"), "x.code", index.alias("own"))
+    return rows.withColumn("x", F.explode(_rows(F.col("e"), F.col("wide")))).select(*rest, key.alias("key"), "x.code", "own")
+
+
+def _class(n: Column, edits) -> Column:
+    """The edits and the width of a text of ``n`` characters in one long."""
+    return edits(n).cast("long") * 2**40 + width(n, edits(n))
+
+
+def _one_class(n: Column, edits, most: int) -> Column:
+    """Whether texts up to ``most`` characters shorter are of this one's class, as of nearly all; classes rise with the length."""
+    return _class(n - most, edits) == _class(n, edits)
 
 
 def _classes(n: Column, edits, shorter: Sequence[int]) -> Column:
-    """Distinct (e, wide, own) of texts that are ``shorter`` by these many characters and still may be near; own is this text's."""
-    found, kind = [], lambda d: F.struct(edits(n - d).alias("e"), width(n - d, edits(n - d)).alias("wide"))
-    for d in sorted(shorter, key=abs):
-        found.append(F.when((n - d >= 0) & (edits(n - d) >= abs(d)), kind(d)))
-    kinds = F.array_distinct(F.array_compact(F.array(*found)))
-    marked = F.transform(kinds, lambda x, i: F.struct(x["e"].alias("e"), x["wide"].alias("wide"), (i == 0).alias("own")))
-    # Classes rise with the length, so where both ends are of one class, all are, as of nearly all texts.
-    one = F.array(F.struct(edits(n).alias("e"), width(n, edits(n)).alias("wide"), F.lit(True).alias("own")))
-    return F.when((kind(min(shorter)) == kind(0)) & (kind(max(shorter)) == kind(0)), one).otherwise(marked)
+    """Distinct classes, to be read by :func:`_of_class`, of texts that are ``shorter`` by these many characters and still may be near; this text's is the first."""
+    kinds = [F.when((n - d >= 0) & (edits(n - d) >= abs(d)), _class(n - d, edits)).otherwise(_class(n, edits)) for d in sorted(shorter, key=abs)]
+    return F.array_distinct(F.array(*kinds))
+
+
+def _of_class(rows: DataFrame, classes: Column) -> DataFrame:
+    """``rows`` by class, with e, wide and whether it is the own one, the first."""
+    rows = rows.withColumn("x", classes).withColumn("kind", F.explode("x"))
+    rows = rows.withColumn("own", F.col("kind") == F.get("x", F.lit(0))).withColumn("e", F.shiftright("kind", 40).cast("int"))
+    return rows.withColumn("wide", F.col("kind").bitwiseAND(2**40 - 1).cast("int")).drop("x", "kind")
 
 
 def line_keys(lines: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
     """Entries of whole lines (h, line): h, key, code, e, wide, n, own."""
+    allowed, most = lambda n: allowed_edits(n, steps), steps[-1][1]
     rows = lines.select("h", "line", F.length("line").alias("n"))
-    rows = rows.select("h", "line", "n", F.explode(_classes(F.col("n"), lambda n: allowed_edits(n, steps), range(steps[-1][1] + 1))).alias("x"))
-    return _keyed(rows.select("h", wide_text(F.col("line")).alias("data"), "n", F.lit(0).cast("long").alias("under"), "x.*"))
+    own = rows.withColumn("own", F.lit(True)).withColumn("e", allowed(F.col("n"))).withColumn("wide", width(F.col("n"), F.col("e")))
+    # Few lines are of several classes; each begins where a text shorter by one more is of another. All of it is compiled code.
+    shorter = F.col("n") - F.col("d")
+    several = rows.where(~_one_class(F.col("n"), allowed, most)).withColumn("d", F.explode(F.array(*[F.lit(d) for d in range(1, most + 1)])))
+    others = several.where((shorter >= 0) & (allowed(shorter) >= F.col("d")) & (_class(shorter, allowed) != _class(shorter + 1, allowed)))
+    others = others.select("h", "line", "n", F.lit(False).alias("own"), allowed(shorter).alias("e"), width(shorter, allowed(shorter)).alias("wide"))
+    ready = ["h", wide_text(F.col("line")).alias("data"), "n", F.lit(0).cast("long").alias("under"), "e", "wide", "own"]
+    return _keyed(own.select(*ready)).union(_keyed(others.select(*ready)))
 
 
 def _deeper(hot: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
@@ -309,15 +379,16 @@ def _deeper(hot: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
 
     A segment's number is the number of edits outside its half's end, so those on the other side are fewer by it.
     """
-    start, i = _start(F.col("code"), F.col("n"), F.col("wide")), F.shiftright(F.col("code"), 4).bitwiseAND(15)
+    start, i = _start(F.col("code"), F.col("n"), F.col("wide")), _number(F.col("code"))
+    end = start + F.col("wide") - i
     left = F.col("code") < 256
-    at = F.when(left, F.col("at") + start + F.col("wide")).otherwise(F.col("at"))
-    n = F.when(left, F.col("n") - start - F.col("wide")).otherwise(start)
+    at = F.when(left, F.col("at") + end).otherwise(F.col("at"))
+    n = F.when(left, F.col("n") - end).otherwise(start)
     rest = hot.select("h", F.col("key").alias("under"), at.alias("at"), n.alias("n"), (F.col("e") - i).alias("e"), F.col("own").alias("index")).distinct()
     rest = rest.join(texts.select("h", "line"), "h").withColumn("data", wide_text(F.substring(F.col("line"), F.col("at") + 1, F.col("n")))).drop("line")
     by_edits = F.array(*[_classes(F.col("n"), lambda _, e=e: F.lit(e), range(-e, e + 1)) for e in range(6)])
-    rows = rest.withColumn("x", F.explode(F.get(by_edits, F.col("e")))).withColumn("wide", F.col("x.wide")).withColumn("own", F.col("x.own") & F.col("index")).drop("x", "index")
-    return tables.put(_keyed(rows))
+    rows = _of_class(rest, F.get(by_edits, F.col("e")))
+    return tables.put(_keyed(rows.withColumn("own", F.col("own") & F.col("index")).drop("index")))
 
 
 def _alike(steps: list[tuple[int, int]]) -> Column:
@@ -335,14 +406,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, steps: list[tuple[int, int]],
     """(h, g) of the later lines of the pairs (h_a, h_b), a table of hashes, that are within the shorter's edits."""
     met = tables.put(pairs.select(F.col("h_a").alias("h")).union(pairs.select("h_b")).distinct())
     lines = tables.put(texts.join(_few(met), "h").select("h", "g", "first", "line"))
-    held, close = lines.agg(F.sum(F.octet_length("line"))).first()[0] or 0, F.lit(False)
+    held = lines.agg(F.sum(F.octet_length("line"))).first()[0] or 0
     if held <= BROADCAST_BYTES:
         # Pairs are two hashes each where they are dealt out, and no line is written for each of its pairs.
         pairs, lines = pairs.repartition(1 + pairs.count() // PAIRS, "h_a", "h_b"), F.broadcast(lines)
     met = pairs.join(_side(lines, "a"), "h_a").join(_side(lines, "b"), "h_b")
     allowed = allowed_edits(F.least(F.length("line_a"), F.length("line_b")), steps)
-    for edits in sorted({e for _, e in steps}):
-        close = F.when(allowed == edits, within(F.col("line_a"), F.col("line_b"), edits)).otherwise(close)
+    close = within(F.col("line_a"), F.col("line_b"), steps[-1][1], allowed)
     later = F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("h_a").alias("h"), F.col("g_a").alias("g"))).otherwise(F.struct(F.col("h_b").alias("h"), F.col("g_b").alias("g")))
     return met.where(close).select(later.alias("l")).select("l.*").distinct()
 
@@ -375,17 +445,28 @@ def near_lines(first: DataFrame, steps: list[tuple[int, int]], tables: Tables) -
     state = tables.put(state)
     unsettled = state.where("open and h <> p").select("key").distinct()
     state = tables.put(state.drop("p", "open").join(_few(tables.put(unsettled)), "key"))
+    # Counts of parts and the hashes at the ends, of lines of a class that meet many others; pairs without them are left to the automaton.
+    many = state.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= MANY).select("key")
+    parts = state.where("own and code >= 0").join(_few(tables.put(many)), "key").select("h", "e", "wide").distinct().join(texts.select("h", "line"), "h")
+    parts = tables.put(parts.select("h", "e", "wide", part_counts(F.col("line"), F.col("e"), F.col("wide")).alias("parts")))
     more = []
     for round_ in range(ROUNDS + 1):
-        hot = F.col("lines") > (HOT if round_ < ROUNDS else 2**62)
-        sizes = state.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.count_if("own").alias("index"))
-        sizes = tables.put(sizes.where("lines > 1 and index > 0").select("key", hot.alias("hot")))
+        hot = F.col("lines") * F.col("unshifted") > (HOT**2 if round_ < ROUNDS else 2**62)
+        sizes = state.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.count_if("own").alias("index"), F.count_if(_unshifted(F.col("code"))).alias("unshifted"))
+        sizes = tables.put(sizes.where("lines > 1 and index > 0 and unshifted > 0").select("key", hot.alias("hot")))
         here = tables.put(state.join(_few(sizes), "key"))
         # An entry without a code is a whole text, or one too short to be cut.
-        meet = here.where("not hot or code < 0").select("key", "h", "own").join(_few(marks), "h")
-        both = _side(meet.where("own").drop("own"), "a", "key").join(_side(meet.drop("own"), "b", "key"), "key")
-        order = (F.col("size_a") <= F.col("size_b")) & F.when(F.col("first_a") > F.col("first_b"), F.col("open_a")).otherwise(F.col("open_b"))
-        more.append(tables.put(both.where(order & _alike(steps)).select("h_a", "h_b").distinct()))
+        meet = here.where("not hot or code < 0").select("key", "h", "own", _unshifted(F.col("code")).alias("unshifted"), "code", "e", "wide").join(_few(marks), "h")
+        meet = meet.join(_few(parts), ["h", "e", "wide"], "left") if round_ == 0 else meet
+        both = _side(meet.where("unshifted"), "a", "key").join(_side(meet, "b", "key"), "key")
+        # Two that are both unshifted meet once; the shorter line has the key by its own class; the later one is open.
+        order = (~F.col("unshifted_b") | (F.col("h_a") < F.col("h_b"))) & _alike(steps)
+        order = order & ((F.col("own_a") & (F.col("size_a") <= F.col("size_b"))) | (F.col("own_b") & (F.col("size_b") <= F.col("size_a"))))
+        order = order & F.when(F.col("first_a") > F.col("first_b"), F.col("open_a")).otherwise(F.col("open_b"))
+        if round_ == 0:
+            sides = F.col("parts_a"), F.col("parts_b"), F.col("e_a")
+            order = order & F.when(F.col("own_a") & F.col("own_b"), F.coalesce(parts_alike(*sides) & found_here(*sides, F.col("code_a")), F.lit(True))).otherwise(True)
+        more.append(tables.put(both.where(order).select("h_a", "h_b").distinct()))
         go_on = here.where("hot and code >= 0")
         if go_on.isEmpty():
             break
@@ -424,7 +505,7 @@ def dedup_lines(
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     base = docs.select(d.alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("text is not null")
     # Lines are cut out of texts once; later passes read what they need of this table.
-    all_lines = tables.put(_lines(base, min(exact_least, max(1, least))).withColumn("n", F.length("line")))
+    all_lines = tables.put(_lines(base, min(exact_least, max(1, least))).withColumn("n", F.length("line")), **{"parquet.enable.dictionary": "false"})
     near = near_lines(all_lines.where(F.col("n") >= least).drop("n"), steps, tables).withColumn("near", F.lit(True))
     thin = all_lines.where(F.col("n") >= exact_least).select("d", "t", "pos", "h", "g")
     # Lines of which something goes: those that stand in several places, and those near to an earlier one.
@@ -439,7 +520,7 @@ def dedup_lines(
     by_doc = tables.put(by_doc)
     tables.drop_all_but(by_doc)
     # The row as a struct, so that no column of it can clash with those here.
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), d.alias("_d"), F.xxhash64(text_col).alias("_t")).join(by_doc, ["_d", "_t"], "left")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), d.alias("_d"), F.xxhash64(text_col).alias("_t")).join(by_doc.hint("shuffle_hash"), ["_d", "_t"], "left")
     text = F.col("_row")[text_col]
     stay = lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(parts, i))
     kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(T.let(F.split(text, "\n", -1), stay), "\n"))

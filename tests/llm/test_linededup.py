@@ -226,3 +226,51 @@ def test_lines_are_broadcast_to_their_pairs_or_joined(spark, monkeypatch):
         assert {x.h for x in out.collect()} == want and len(want) >= 60
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert ("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan) or not most
+
+
+@pytest.mark.parametrize("edits", [2, 5])
+def test_a_segment_has_one_substring_for_each_place(spark, edits):
+    """Both lines look for each other, so a segment numbered i has i + 1 substrings (2i + 1 were probed and one indexed before)."""
+    assert len(ld._codes(edits)) == sum(i + 1 for _, i in ld.halves(edits)) < sum(2 * i + 1 for _, i in ld.halves(edits))
+    lines = spark.createDataFrame([(1, "".join(random.Random(edits).choices("abcdefgh ", k=125)))], "h long, line string")
+    keys = ld.line_keys(lines, [(20, edits)]).collect()
+    assert len(keys) == len(ld._codes(edits)) and all(k.own for k in keys)
+
+
+def test_parts_tell_pairs_before_they_are_rows(spark):
+    """Near lines pass by parts and by a key of theirs; lines with a word changed in each half don't."""
+    r, rows = random.Random(6), []
+    for _ in range(120):
+        a = "".join(r.choices("ehtaonisrl ", k=125))
+        rows += [(a, edited(r, a, r.randint(1, 5), "ehta"), 1), (a[:20] + "wwwwwwww" + a[28:], a[:90] + "gggggggg" + a[98:], 0)]
+    df = spark.createDataFrame(rows, "a string, b string, near int").withColumn("e", F.lit(5)).withColumn("wide", F.lit(18))
+    df = df.select("a", "b", "near", "e", *[ld.part_counts(F.col(c), F.col("e"), F.col("wide")).alias(f"p{c}") for c in "ab"])
+    codes = F.array(*[F.lit(c) for c in ld._codes(5) if (c & 15) == 8])
+    here = F.exists(codes, lambda c: ld.found_here(F.col("pa"), F.col("pb"), F.col("e"), c))
+    for x in df.select("near", ld.parts_alike(F.col("pa"), F.col("pb"), F.col("e")).alias("alike"), here.alias("here")).collect():
+        assert x.alike == bool(x.near) and (x.here or not x.near)
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies with two words changed: nearly all pairs share segments, few are rows, and no near line is lost."""
+    r, put = random.Random(7), ld.Tables.put
+    words = ["".join(r.choices("ehtaonisrlduwg", k=r.randint(3, 8))) for _ in range(40)]
+    rows = [" ".join(words)]
+    for _ in range(250):
+        new = list(words)
+        for at in r.sample(range(40), 2):
+            new[at] = "".join(r.choices("ehtaonisrlduwg", k=7))
+        rows.append(" ".join(new))
+    rows += [edited(r, x, 3, "ehta") for x in rows[1:16]]
+    sizes = []
+
+    def counted(self, df, **options):
+        out = put(self, df, **options)
+        sizes.extend([out.count()] if out.columns == ["h_a", "h_b"] else [])
+        return out
+
+    monkeypatch.setattr(ld.Tables, "put", counted)
+    out = ld.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4), edits=ld.EDITS)
+    gone = {x.doc_id for x in out.collect() if not x.text}
+    want = {j for j, y in enumerate(rows) if any(abs(len(x) - len(y)) <= 5 and edit_distance(x, y) <= 5 for x in rows[max(0, j - 250) if j > 250 else 0 : j] if j > 250) or (0 < j <= 250 and edit_distance(rows[0], y) <= 5)}
+    assert gone >= want and gone >= set(range(251, 266)) and max(sizes) < 250 * 249 / 2 / 4
