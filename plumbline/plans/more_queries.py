@@ -146,11 +146,10 @@ def _(spark, d):
     return rows.select("*", grounding.gate(F.col("ratio"), F.col("least_similarity")).alias("decision"))
 
 
-@query("fabrication", "SELECT vec_id, best < 0.3 AS suspect FROM (SELECT a.vec_id, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS best FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1)")
+@query("fabrication", "SELECT vec_id, best < 0.3 AS suspect FROM (SELECT a.vec_id, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS best FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id GROUP BY 1)")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    top = ranking.nearest(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv")), e.select(F.col("vec_id").alias("id"), "v"), 1)
-    return top.select(F.col("qid").alias("vec_id"), (F.col("similarity") < 0.3).alias("suspect"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return ranking.alone(e, 0.3).select(F.col("id").alias("vec_id"), F.col("alone").alias("suspect"))
 
 
 @query("envelope_verify")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from plumbline.functions import stats as S
 from plumbline.operators import cascade, engines, generators, grounding, properties, providers, ranking, rules, suite
 from plumbline.sources import governed
@@ -301,3 +302,28 @@ def test_generated_cases_do_not_depend_on_order(spark):
     parts = {"x": spark.createDataFrame([("a",), ("b",)], "v string"), "y": spark.createDataFrame([("c",)], "v string")}
     made = generators.template_cases(parts, F.concat("x", "y"), F.concat_ws("-", "x", "y"))
     assert sorted(map(tuple, made.collect())) == [("a-c", "ac"), ("b-c", "bc")]
+
+
+def test_alone_is_whether_the_nearest_of_all_pairs_is_near(spark):
+    """Copies, repeated ids, nulls, zeros and sizes, in batches of any size, as by the cosine of all pairs."""
+    rows = [(i % 110, [float((i * i * 7 + j * 3 * i) % 11 - 5) * (1 + i % 3) for j in range(8)]) for i in range(130)] + [(1000 + i, [float(i == j) for j in range(8)]) for i in range(8)]
+    rows += [(200, None), (201, [0.0] * 8), (202, [1.0, None] * 4), (203, [1.0, 2.0]), (203, [-1.0, 0.5]), (204, [2.0, 4.0]), (205, [1e-200] * 8), (206, [1e160] + [1.0] * 7), (207, []), (None, [1.0] * 8)]
+    rows += [(300, [1.0]), (301, [-1.0]), (302, None), (302, [-2.0])]
+    places = [(i, [0.0] * j + [1.0] + [0.0] * (7 - j)) for i, j in enumerate((0, 1, 2, 2, 3, 4))]
+    for given, least, size in ((rows, 0.9, "3"), (rows, 0.3, "10000"), (places, 0.0, "3"), ([(1, [1.0]), (1, [1.0])], 0.3, "10000")):
+        df = spark.createDataFrame(given, "id int, v array<double>").repartition(3)
+        pairs = df.alias("a").crossJoin(df.alias("b")).where("a.id <> b.id").select("a.id", S.cosine(F.col("a.v"), F.col("b.v")).alias("s"))
+        want = sorted(map(str, pairs.groupBy("id").agg((F.max("s") < least).alias("alone")).collect()))
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(map(str, ranking.alone(df, least).collect())) == want
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_fabrication_looks_at_every_vector(spark, tmp_path):
+    e = [(i, [float(i % 4 == j) for j in range(5)]) for i in range(1, 8)] + [(9, [0.0, 0.0, 0.0, 0.0, 1.0])]
+    spark.createDataFrame(e, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.suspect for r in entry.queries()["fabrication"](spark, str(tmp_path)).collect()}
+    assert got == {1: False, 2: False, 3: False, 4: True, 5: False, 6: False, 7: False, 9: True}
